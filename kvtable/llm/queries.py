@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtable.llm import byte_bpe, packing, sharding, token_counts
+from kvtable.llm import byte_bpe, license_scan, packing, quality_rules, sharding, token_counts
 from kvtable.llm.common import documents
+from kvtable.llm.labels import training_labels, with_labels
 
 N_SHARDS = 24
 
@@ -18,6 +19,22 @@ def _ranks() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
+
+
+def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Trusted target: documents of the training fold with quality 1.  Raw corpus: all documents."""
+    labels = training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")).where("label = 1")
+    target = with_labels(docs.select("doc_id", "text"), labels)
+    return quality_rules.fit(docs, target)
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality_rules.judge(docs, quality_model(spark, docs, sf_dir)).select("doc_id", "_q.*")
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
     ids = byte_bpe.encode(docs, _ranks(), public_tokenizers.PATTERN).select("doc_id", "ids")
@@ -49,6 +66,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_license_scan": op1_license_scan,
+        "op2_quality_rules": op2_quality_rules,
         "op3_byte_bpe": op3_byte_bpe,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_sharding": op6_sharding,
@@ -57,4 +76,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_license_scan": license_scan.oracle()}
