@@ -8,9 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtable.llm import byte_bpe, license_scan, packing, quality_rules, sharding, token_counts
+from kvtable.llm import byte_bpe, license_scan, merkle, packing, quality_classifier, quality_rules, sharding, token_counts
 from kvtable.llm.common import documents
-from kvtable.llm.labels import training_labels, with_labels
+from kvtable.llm.labels import held_out, training_labels, with_labels
 
 N_SHARDS = 24
 
@@ -47,6 +47,17 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality_classifier.Model:
+    return quality_classifier.fit(docs, training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    scored = quality_classifier.scores(docs, classifier(spark, docs, sf_dir)).select("doc_id", "score")
+    accepted = (F.col("score") >= quality_classifier.ACCEPT).cast("int")
+    return scored.select("doc_id", held_out().alias("held_out"), "score", accepted.alias("predicted"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -58,6 +69,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "path")
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.edit_report(documents(spark, sf_dir))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     length = token_counts.encoded_length(F.col("text"), _ranks(), public_tokenizers.PATTERN)
     lengths = documents(spark, sf_dir).select(length.alias("n_tokens"))
@@ -69,8 +84,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_license_scan": op1_license_scan,
         "op2_quality_rules": op2_quality_rules,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_quality_classifier": op4_quality_classifier,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_sharding": op6_sharding,
+        "op9_fingerprints": op9_fingerprints,
         "op10_token_counts": op10_token_counts,
     }
 
