@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtable.llm import byte_bpe, license_scan, merkle, packing, quality_classifier, quality_rules, sharding, token_counts
+from kvtable.llm import byte_bpe, license_scan, merkle, packing, quality_classifier, quality_rules, sharding, simhash, token_counts
 from kvtable.llm.common import documents
 from kvtable.llm.labels import held_out, training_labels, with_labels
 
@@ -69,6 +69,10 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return more.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard", "path")
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(documents(spark, sf_dir))
 
@@ -87,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_quality_classifier": op4_quality_classifier,
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_sharding": op6_sharding,
+        "op7_simhash": op7_simhash,
         "op9_fingerprints": op9_fingerprints,
         "op10_token_counts": op10_token_counts,
     }
