@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtable.llm import byte_bpe, license_scan, merkle, packing, quality_classifier, quality_rules, sharding, simhash, token_counts
+from kvtable.llm import byte_bpe, license_scan, merkle, packing, quality_classifier, quality_rules, sharding, simhash, suffix_dedup, token_counts
 from kvtable.llm.common import documents
 from kvtable.llm.labels import held_out, training_labels, with_labels
 
@@ -73,6 +73,18 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir), shingle=3, radius=2)
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = suffix_dedup.dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    removed = F.aggregate("removed", F.lit(0).cast("bigint"), lambda n, s: n + s["end"] - s["start"])
+    return done.select(
+        "doc_id",
+        F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"),
+        removed.alias("n_removed"),
+        F.size("removed").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.edit_report(documents(spark, sf_dir))
 
@@ -92,6 +104,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_best_fit_packing": op5_best_fit_packing,
         "op6_sharding": op6_sharding,
         "op7_simhash": op7_simhash,
+        "op8_suffix_dedup": op8_suffix_dedup,
         "op9_fingerprints": op9_fingerprints,
         "op10_token_counts": op10_token_counts,
     }
