@@ -4,10 +4,11 @@ Words are the matches of ``[^\\x20\\x09-\\x0D]+``.  The rules read five
 numbers of a text (words, their characters, symbols, repeated lines, words in
 repeated 5-word windows).  The method then compares two multinomials over
 hashed word uni- and bigrams: one of trusted target documents, one of the
-whole raw corpus, both with add-one smoothing.  A document's score is the
-mean of ``log p_target - log p_raw`` over its n-grams; it is kept if the base
-rules pass and the score reaches a fixed threshold.  Nothing is drawn at
-random and every document is decided.
+whole raw corpus.  The raw counts are scaled to the target's total before
+both get the same added counts, so an n-gram too rare to tell weighs little.
+A document's score is the mean of ``log p_target - log p_raw`` over its
+n-grams; it is kept if the base rules pass and the score reaches a fixed
+threshold.  Nothing is drawn at random and every document is decided.
 
 The counts cover all documents.  The model is ``n_buckets`` numbers, one
 scalar subquery; documents are scored in their rows, so no text is shuffled.
@@ -30,8 +31,10 @@ MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 WINDOW = 5
 N_BUCKETS = 1 << 15
+#: Counts added to each bucket of either multinomial.
+SMOOTHING = 20.0
 #: Mean log-likelihood ratio per n-gram from which a document is kept.
-MIN_SCORE = -0.1
+MIN_SCORE = -0.08
 
 
 def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -108,7 +111,13 @@ def _counts(docs: DataFrame, text_col: str, n_buckets: int, as_name: str) -> Dat
     return buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias(as_name))
 
 
-def fit(raw: DataFrame, target: DataFrame, text_col: str = "text", n_buckets: int = N_BUCKETS) -> DataFrame:
+def fit(
+    raw: DataFrame,
+    target: DataFrame,
+    text_col: str = "text",
+    n_buckets: int = N_BUCKETS,
+    smoothing: float = SMOOTHING,
+) -> DataFrame:
     """One row, ``weights ARRAY<DOUBLE>``: log p_target - log p_raw of each bucket."""
     spark = raw.sparkSession
     every = spark.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
@@ -120,8 +129,8 @@ def fit(raw: DataFrame, target: DataFrame, text_col: str = "text", n_buckets: in
     model = both.agg(
         F.sum("r").alias("nr"), F.sum("t").alias("nt"), F.sort_array(F.collect_list(F.struct("bucket", "r", "t"))).alias("c")
     )
-    log_p = lambda n, total: F.log((n + 1) / (total + n_buckets))
-    weights = F.transform("c", lambda c: log_p(c["t"], F.col("nt")) - log_p(c["r"], F.col("nr")))
+    expected = lambda c: c["r"] * F.col("nt") / F.col("nr")
+    weights = F.transform("c", lambda c: F.log((c["t"] + smoothing) / (expected(c) + smoothing)))
     flat = F.transform("c", lambda c: F.lit(0.0))
     return model.select(F.when(F.col("nt") > 0, weights).otherwise(flat).alias("weights"))
 
@@ -147,4 +156,5 @@ def judge(
         F.col("_score").alias("score"),
         (~failed & (F.col("_score") >= F.lit(min_score))).alias("kept"),
     )
-    return rows.select(*[F.col(f"`{n}`") for n in names], verdict.alias("_q"))
+    # the one-row explode keeps a caller's filter above: pushed down, it would repeat all of the expressions
+    return rows.select(*[F.col(f"`{n}`") for n in names], F.explode(F.array(verdict)).alias("_q"))

@@ -37,6 +37,8 @@ from kvtable.llm.shared import written
 BITS = 64
 SEED = 42
 BUCKET = 2048
+#: Groups up to this size are first tested as a whole batch.
+SMALL = 64
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -79,80 +81,93 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", out:
     return docs.withColumn(out, hashed(F.col(text_col)))
 
 
-def covering_masks(radius: int, bits: int = BITS) -> list[int]:
-    """One mask per non-zero vector; each pair of fingerprints within the radius agrees under one of them."""
-    if not 0 <= radius < bits:
-        raise ValueError("the radius must be from 0 to below the number of bits")
-    n = (1 << (radius + 1)) - 1
+def covering_masks(radius: int, parts: int = 1, bits: int = BITS) -> list[int]:
+    """Masks such that each two fingerprints within the radius agree under one of them.
+
+    With more parts the bits are divided; a pair within the radius is within
+    ``radius // parts`` in some part, which has its own covering masks.  That
+    takes fewer tables for a large radius, and keys of fewer bits.
+    """
+    if radius < 0 or parts < 1 or bits % parts:
+        raise ValueError("the radius must not be negative and the parts must divide the bits")
+    width, near = bits // parts, radius // parts
+    n = (1 << (near + 1)) - 1
     rng = random.Random(7)
     vectors: list[int] = []
-    while len(vectors) < bits:
+    while len(vectors) < width:
         vectors += rng.sample(range(1, n + 1), n)
-    masks = [sum(1 << i for i in range(bits) if (vectors[i] & v).bit_count() % 2) for v in range(1, n + 1)]
-    return masks if radius else [(1 << bits) - 1]
+    masks = [sum(1 << i for i in range(width) if (vectors[i] & v).bit_count() % 2) for v in range(1, n + 1)]
+    return [m << (width * p) for p in range(parts) for m in masks]
 
 
 def _signed(mask: int) -> int:
     return mask - (1 << BITS) if mask >> (BITS - 1) else mask
 
 
+def _spanning(found: np.ndarray, radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Links of a spanning forest of the fingerprints within the radius of each other."""
+    rest = np.unique(found)
+    while len(rest):
+        front, rest = [rest[0]], rest[1:]
+        while front and len(rest):
+            node = front.pop()
+            near = np.bitwise_count(rest ^ node) <= radius
+            if near.any():
+                hits, rest = rest[near], rest[~near]
+                yield np.full(len(hits), node), hits
+                front.extend(hits)
+
+
+def _linked(fp: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
+    """Which groups (of neighbouring rows) need a search: the large ones, and small ones with a link."""
+    group = np.repeat(np.arange(len(sizes)), sizes)
+    flags = sizes > SMALL
+    rows = ~flags[group]
+    fp, group = fp[rows], group[rows]
+    for d in range(1, SMALL):
+        same = group[d:] == group[:-d]
+        if not same.any():
+            break
+        near = same & (np.bitwise_count(fp[d:] ^ fp[:-d]) <= radius)
+        flags[group[d:][near]] = True
+    return np.flatnonzero(flags)
+
+
 def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
     """Links of a spanning forest of each group; rows ``key, p, q, fp`` come sorted by group."""
 
-    def links(found: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        rest = np.unique(found)
-        while len(rest):
-            front, rest = [rest[0]], rest[1:]
-            while front and len(rest):
-                node = front.pop()
-                near = np.bitwise_count(rest ^ node) <= radius
-                if near.any():
-                    hits, rest = rest[near], rest[~near]
-                    yield np.full(len(hits), node), hits
-                    front.extend(hits)
-
-    def batch(a: list, b: list) -> pa.RecordBatch:
-        pair = [np.concatenate(x).view(np.int64) if x else np.zeros(0, np.int64) for x in (a, b)]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in pair], names=["a", "b"])
-
-    held: list[np.ndarray] = []
-    at = None
+    def search(fp: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
+        pairs = [x for g in _linked(fp, np.diff(cuts), radius) for x in _spanning(fp[cuts[g] : cuts[g + 1]], radius)]
+        ends = [np.concatenate(x).view(np.int64) if pairs else np.zeros(0, np.int64) for x in zip(*pairs, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends or ([], [])], names=["a", "b"])
+
+    held: list[np.ndarray] = []  # the columns of the last group so far
     for rows in batches:
         if not rows.num_rows:
             continue
-        key, p, q = (rows.column(c).to_numpy() for c in ("key", "p", "q"))
-        fp = rows.column("fp").to_numpy().view(np.uint64)
+        columns = [rows.column(c).to_numpy() for c in ("key", "p", "q", "fp")]
+        if held:
+            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
+        key, p, q, fp = columns
         new = (np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)
-        cuts = [0, *(np.flatnonzero(new) + 1), len(key)]
-        a, b = [], []
-        for start, end in zip(cuts[:-1], cuts[1:], strict=True):
-            group = (key[start], p[start], q[start])
-            if group != at and held:
-                for x, y in links(np.concatenate(held)):
-                    a.append(x)
-                    b.append(y)
-                held = []
-            at = group
-            held.append(fp[start:end])
-        yield batch(a, b)
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        held = [c[cuts[-1] :] for c in columns]
+        yield search(fp.view(np.uint64), cuts)
     if held:
-        pairs = list(links(np.concatenate(held)))
-        yield batch([x for x, _ in pairs], [y for _, y in pairs])
+        yield search(held[3].view(np.uint64), np.array([0, len(held[3])]))
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
+def links(fps: DataFrame, radius: int, parts: int = 1) -> DataFrame:
     """``a, b``: links that connect all fingerprints within the radius; ``fps`` holds distinct ``fp``."""
-    if radius == 0:
-        return fps.select(F.col("fp").alias("a"), F.col("fp").alias("b")).where("false")
-    table = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius)])
+    table = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, parts)])
     keyed = fps.select("fp", F.posexplode(table).alias("t", "mask"))
     keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
     buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
     buckets, _ = written(buckets.where("n > 1"))
     pairs = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
     large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
-    part = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    members = keyed.join(large, "key").select("key", "fp", "parts", part.alias("own"))
+    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
+    members = keyed.join(large, "key").select("key", "fp", "parts", own.alias("own"))
     spread = members.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
     groups = spread.select(
         "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp"
@@ -162,7 +177,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
     return pairs.union(found).distinct()
 
 
-def clusters(rows: DataFrame, radius: int, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
+def clusters(rows: DataFrame, radius: int, parts: int = 1, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
     """``fp, component, component_id`` of each distinct fingerprint.
 
     ``component`` is the smallest fingerprint reachable over links,
@@ -170,7 +185,7 @@ def clusters(rows: DataFrame, radius: int, id_col: str = "doc_id", fp_col: str =
     """
     fps = rows.groupBy(F.col(fp_col).alias("fp")).agg(F.min(id_col).alias("_least"))
     fps, _ = written(fps)
-    found = components(links(fps.select("fp"), radius))
+    found = components(links(fps.select("fp"), radius, parts))
     named = fps.join(found.withColumnRenamed("node", "fp"), "fp", "left").select(
         "fp", "_least", F.coalesce("component", "fp").alias("component")
     )
@@ -189,3 +204,23 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, id_col: str = "d
     rows, _ = written(rows.select("doc_id", "fp"))
     found = clusters(rows, radius).select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def deduplicated(
+    docs: DataFrame, shingle: int, radius: int, parts: int = 1, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (NULL last), then of the smallest text hash.
+
+    Texts are shuffled once, to meet the ids that stay.
+    """
+    row_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+    keys = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_hash.alias("_h"))
+    meta, _ = written(fingerprints(keys, shingle).select("doc_id", "_h", "fp"))
+    named = meta.join(clusters(meta, radius, parts).select("fp", "component"), "fp")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_h"))
+    stays = named.groupBy("component").agg(F.min(order).alias("_k")).select(
+        F.col("_k.doc_id").alias("_id"), F.col("_k._h").alias("_stays")
+    )
+    rows = docs.select("*", row_hash.alias("_row_hash"))
+    kept = rows.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_stays")), "left_semi")
+    return kept.dropDuplicates([id_col, "_row_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
