@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kvtable.llm.byte_bpe import codec
+from kvtable.llm.shared import written
 
 BLOCK = 1024
 
@@ -51,6 +52,7 @@ def limit_report(histogram: DataFrame) -> DataFrame:
     q-quantile is the least L with cdf >= q).  Limits between two lengths
     follow by ``docs_longer * limit + tokens_within`` at the next lower row.
     """
+    histogram, _ = written(histogram)  # read three times below, and the encoding is the costly part
     rows = histogram.select(
         F.expr(f"length div {BLOCK}").alias("block"),
         "length",
