@@ -18,6 +18,7 @@ start, length, ids_crc32, sequence_id, offset`` and, on request, ``ids``.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -30,13 +31,35 @@ from pyspark.sql import functions as F
 from kvtable.llm.common import PieceCache, ceil_div
 
 DOCS_PER_GROUP = 8192
+#: Entries of a generation of a worker's memo, about 150 bytes each.
+CACHED_RUNS = 700_000
+
+
+word = re.compile("[A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+").fullmatch
+one_word = re.compile("[a-zß-öø-ÿ]+").fullmatch
+
+
+def _byte_symbols() -> dict[int, str]:
+    """The printable symbol of each byte in byte-level vocabularies: itself, or the next one from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(0x100 + i) for i, b in enumerate(rest)}
+
+
+_symbols = _byte_symbols()
+
+
+def byte_level(run: str) -> str:
+    return run.encode().decode("latin-1").translate(_symbols)
 
 
 class SpacedTokenizer:
     """Ids of a text by a tokenizer that drops white space: encodes each run between spaces once.
 
     Only the plain separators cut; they are white space to the tokenizer and
-    no token spans them, so the runs' ids joined are the text's ids.
+    no token spans them, so the runs' ids joined are the text's ids.  A run of
+    Latin letters (below U+0250, where composing changes nothing and each letter
+    but U+0130 lower-cases to one letter) is one word to it, apart from punctuation.
     """
 
     def __init__(self, path: str):
@@ -44,10 +67,20 @@ class SpacedTokenizer:
 
         tokenizer = Tokenizer.from_file(path)
 
+        model = tokenizer.model
+
         def ids(run: str) -> bytes:
+            """Words in the tokenizer's normal form go to its model, their variants to their entry, all else to it whole."""
+            if one_word(run):
+                return np.array([t.id for t in model.tokenize(run if run.isascii() else byte_level(run))], "<u4").tobytes()
+            if "<" not in run:  # no special token in it
+                if run[-1:] in (".", ",") and word(run[:-1]):
+                    return self.runs[run[:-1]] + self.runs[run[-1]]
+                if word(run) and one_word(run.lower()):
+                    return self.runs[run.lower()]
             return np.array(tokenizer.encode(run, add_special_tokens=False).ids, "<u4").tobytes()
 
-        self.runs = PieceCache(ids)
+        self.runs = PieceCache(ids, CACHED_RUNS)
 
     def packed(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
