@@ -1,4 +1,8 @@
-"""Registered queries of the table engine and their SQL counterparts."""
+"""Registered queries of the table engine and their SQL counterparts.
+
+Keys and values are shown as hex, so that a comparison does not depend on
+how a client renders BINARY.
+"""
 
 from __future__ import annotations
 
@@ -7,19 +11,342 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtable.operators import merge
-from kvtable.plans.event_log import event_ops
+from kvtable.functions import codec
+from kvtable.functions.murmur import SEED_1, SEED_2, murmur3
+from kvtable.operators import log, merge, runs
+from kvtable.plans.event_log import event_ops, event_requests, event_runs, order_ops
+
+START, END = b"u000010", b"u000100"
+LOG_CUT = 300_000
+KEEP_RUNS, KEEP_LOCAL = 4, 4
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+# --- SQL building blocks ------------------------------------------------------
+
+_OPS = """ops AS (
+  SELECT encode(printf('u%06d', user_id)) AS key,
+         CASE WHEN event_type <> 'error' THEN encode(props) END AS value,
+         event_type = 'error' AS tombstone, event_id + 1 AS seq
+  FROM events)"""
+_LATEST = """latest AS (
+  SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM ops) WHERE rn = 1)"""
+_RUNS = """runs AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY run, key ORDER BY seq DESC) AS rn
+    FROM (SELECT *, ((seq - 1) * 8 // (SELECT count(*) FROM events))::BIGINT AS run FROM ops)) WHERE rn = 1)"""
+_STATS = """stats AS (
+  SELECT run, min(key) AS min_key, max(key) AS max_key, count(*) AS n_rows,
+         sum(tombstone::BIGINT)::BIGINT AS n_tombstones, min(seq) AS min_seq, max(seq) AS max_seq
+  FROM runs GROUP BY run)"""
+_REQUESTS = """requests AS (
+  SELECT DISTINCT encode(printf('u%06d', u)) AS key
+  FROM (SELECT user_id AS u FROM events UNION SELECT user_id + 1000000 FROM events))"""
+_ORDERS = """ops AS (
+  SELECT unhex(lpad(hex(o_orderkey), 16, '0')) AS key, CASE WHEN v IS NOT NULL THEN encode(v) END AS value,
+         v IS NULL AS tombstone, o_orderkey * 3 + n AS seq
+  FROM (SELECT o_orderkey, o_orderpriority AS v, 0 AS n FROM orders
+        UNION ALL SELECT o_orderkey, o_orderstatus, 1 FROM orders
+        UNION ALL SELECT o_orderkey, CASE WHEN o_orderstatus <> 'F' THEN o_orderstatus END, 2 FROM orders))"""
+_SIZE = "coalesce(octet_length(value), 0)"
+_KV = "SELECT hex(key) AS key_hex, hex(value) AS value_hex"
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(parts) + "\n"
+
+
+def _registered(sql: str):
+    def add(query):
+        QUERIES[query.__name__] = query
+        ORACLES[query.__name__] = sql
+        return query
+
+    return add
+
+
+def _hexed(rows: DataFrame, *more: str) -> DataFrame:
+    return rows.select(F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex"), *more)
 
 
+# --- reads ----------------------------------------------------------------------
+
+
+@_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone")
 def kv_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merge.scan(event_ops(spark, sf_dir)).select(
-        F.hex("key").alias("key_hex"), F.hex("value").alias("value_hex")
+    return _hexed(merge.scan(event_ops(spark, sf_dir)))
+
+
+@_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone AND key BETWEEN encode('u000010') AND encode('u000100')")
+def kv_scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hexed(merge.scan(event_ops(spark, sf_dir), START, END))
+
+
+@_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone AND key >= encode('u000100')")
+def kv_scan_from(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hexed(merge.scan(event_ops(spark, sf_dir), END, None))
+
+
+@_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone AND key <= encode('u000010')")
+def kv_scan_to(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hexed(merge.scan(event_ops(spark, sf_dir), None, START))
+
+
+@_registered("SELECT 0::BIGINT AS n_rows")
+def kv_scan_empty_range(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merge.scan(event_ops(spark, sf_dir), END, START).agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@_registered(
+    _with(_OPS, _LATEST, _REQUESTS)
+    + """SELECT hex(r.key) AS key_hex, hex(value) AS value_hex,
+  CASE WHEN seq IS NULL THEN 'NotFound' WHEN tombstone THEN 'Deleted' ELSE 'Found' END AS status
+FROM requests r LEFT JOIN latest l ON r.key = l.key"""
+)
+def kv_get_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hexed(merge.status(event_requests(spark, sf_dir), event_ops(spark, sf_dir)), "status")
+
+
+@_registered(_with(_OPS, _LATEST, _REQUESTS) + f"{_KV} FROM requests SEMI JOIN latest USING (key) JOIN latest USING (key) WHERE NOT tombstone")
+def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hexed(merge.multi_get(event_requests(spark, sf_dir), event_ops(spark, sf_dir)))
+
+
+@_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone")
+def kv_scan_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hexed(merge.scan(event_runs(spark, sf_dir)))
+
+
+# --- runs -------------------------------------------------------------------------
+
+
+@_registered(
+    _with(_OPS, _RUNS, _STATS)
+    + "SELECT run, hex(min_key) AS min_key, hex(max_key) AS max_key, n_rows, n_tombstones, min_seq, max_seq FROM stats"
+)
+def kv_run_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = runs.run_statistics(event_runs(spark, sf_dir))
+    return stats.withColumns({c: F.hex(c) for c in ("min_key", "max_key")})
+
+
+@_registered(_with(_OPS, _RUNS) + "SELECT run, max(seq) AS max_seq FROM runs GROUP BY run")
+def kv_max_seq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_statistics(event_runs(spark, sf_dir)).select("run", "max_seq")
+
+
+_COMPACTED = """merged AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT * REPLACE (greatest(run - {last}, 0) AS run),
+           row_number() OVER (PARTITION BY greatest(run - {last}, 0), key ORDER BY seq DESC) AS rn
+    FROM runs) WHERE rn = 1)"""
+_PHYSICAL = f"{_KV}, run, tombstone, seq FROM merged"
+
+
+def _physical(rows: DataFrame) -> DataFrame:
+    return _hexed(rows, "run", "tombstone", "seq")
+
+
+@_registered(_with(_OPS, _RUNS, _COMPACTED.format(last=1)) + _PHYSICAL)
+def kv_compact_two_oldest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _physical(runs.compacted(event_runs(spark, sf_dir), 8, 7, drop_tombstones=False))
+
+
+@_registered(_with(_OPS, _RUNS, _COMPACTED.format(last=4)) + _PHYSICAL)
+def kv_compact_to_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _physical(runs.compacted(event_runs(spark, sf_dir), 8, KEEP_RUNS, drop_tombstones=False))
+
+
+@_registered(_with(_OPS, _RUNS, _COMPACTED.format(last=4)) + _PHYSICAL + " WHERE run > 0 OR NOT tombstone")
+def kv_compact_bottommost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _physical(runs.compacted(event_runs(spark, sf_dir), 8, KEEP_RUNS, drop_tombstones=True))
+
+
+@_registered(
+    _with(_OPS, _RUNS, _STATS)
+    + "SELECT run, CASE WHEN row_number() OVER (ORDER BY run DESC) > 4 THEN 'remote' ELSE 'local' END AS tier FROM stats"
+)
+def kv_tier_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.tiers(runs.run_statistics(event_runs(spark, sf_dir)), KEEP_LOCAL)
+
+
+@_registered(
+    _with(_OPS, _RUNS, _STATS, _REQUESTS)
+    + "SELECT hex(key) AS key_hex, run FROM requests JOIN stats ON key BETWEEN min_key AND max_key"
+)
+def kv_read_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stats = runs.run_statistics(event_runs(spark, sf_dir))
+    return runs.read_candidates(event_requests(spark, sf_dir), stats).select(F.hex("key").alias("key_hex"), "run")
+
+
+_INDEX = f"""placed AS (
+  SELECT run, key, row_number() OVER w - 1 AS ordinal,
+         coalesce(sum(20 + octet_length(key) + {_SIZE}) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM runs WINDOW w AS (PARTITION BY run ORDER BY key)),
+indexed AS (SELECT run, ordinal, key, "offset" FROM placed WHERE ordinal % 32 = 0)"""
+
+
+@_registered(_with(_OPS, _RUNS, _INDEX) + 'SELECT run, ordinal, hex(key) AS key_hex, "offset" FROM indexed')
+def kv_sparse_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = runs.sparse_index(event_runs(spark, sf_dir))
+    return index.select("run", "ordinal", F.hex("key").alias("key_hex"), "offset")
+
+
+@_registered(
+    _with(_OPS, _RUNS, _INDEX, _REQUESTS)
+    + """SELECT hex(r.key) AS key_hex, n.run, coalesce(max(i."offset"), 0)::BIGINT AS "offset"
+FROM requests r CROSS JOIN (SELECT DISTINCT run FROM indexed) n
+LEFT JOIN indexed i ON i.run = n.run AND i.key <= r.key GROUP BY r.key, n.run"""
+)
+def kv_index_seek(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = runs.sparse_index(event_runs(spark, sf_dir))
+    return runs.index_seek(event_requests(spark, sf_dir), index).select(F.hex("key").alias("key_hex"), "run", "offset")
+
+
+@_registered(
+    _with(_OPS, _RUNS, _LATEST)
+    + """SELECT p AS physical_rows, l AS live_rows, p / nullif(l, 0) AS space_amplification
+FROM (SELECT (SELECT count(*) FROM runs) AS p, (SELECT count(*) FROM latest WHERE NOT tombstone) AS l)"""
+)
+def kv_space_amplification(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.amplification(event_runs(spark, sf_dir))
+
+
+# --- log --------------------------------------------------------------------------
+
+_LSN = f"lsn AS (SELECT *, sum(17 + octet_length(key) + {_SIZE}) OVER (ORDER BY seq)::BIGINT AS lsn FROM ops)"
+
+
+@_registered(_with(_OPS, _LSN) + "SELECT seq, lsn FROM lsn")
+def kv_wal_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.log_positions(event_ops(spark, sf_dir)).select("seq", "lsn")
+
+
+@_registered(_with(_OPS, _LSN, _LATEST.replace("FROM ops", f"FROM lsn WHERE lsn <= {LOG_CUT}")) + f"{_KV}, tombstone, seq FROM latest")
+def kv_replay_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hexed(log.replayed(log.torn_at(event_ops(spark, sf_dir), LOG_CUT)), "tombstone", "seq")
+
+
+@_registered(
+    _with(_OPS)
+    + f"""SELECT seq, sum(delta) OVER (ORDER BY seq)::BIGINT AS buffer_bytes FROM (
+  SELECT seq, greatest(octet_length(key) + {_SIZE} - coalesce(lag({_SIZE}) OVER (PARTITION BY key ORDER BY seq), 0), 0) AS delta FROM ops)"""
+)
+def kv_memtable_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return log.buffer_bytes(event_ops(spark, sf_dir)).select("seq", "buffer_bytes")
+
+
+# --- bytes --------------------------------------------------------------------------
+
+
+@_registered(
+    """SELECT e.event_id, lower(hex(encode(props))) AS value_hex, true AS same FROM events e"""
+)
+def kv_hex_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", codec.from_text(F.col("props")).alias("value"))
+    text = codec.to_hex(F.col("value"))
+    return events.select("event_id", text.alias("value_hex"), (codec.from_hex(text) == F.col("value")).alias("same"))
+
+
+@_registered(
+    """SELECT c_custkey, row_number() OVER (ORDER BY c_acctbal_cents, c_custkey) AS place
+FROM (SELECT c_custkey, cast(round(c_acctbal * 100) AS BIGINT) AS c_acctbal_cents FROM customer)"""
+)
+def kv_byte_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers by balance, negative ones too, sorted by their encoded keys."""
+    from pyspark.sql import Window
+
+    cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
+    customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
+    keyed = customers.select("c_custkey", F.concat(codec.from_i64(cents), codec.from_i64(F.col("c_custkey"))).alias("key"))
+    # ranked in key ranges: the first byte pair of the key, then within it
+    ranged = keyed.withColumn("_range", F.substring("key", 1, 6))
+    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    nth = F.row_number().over(Window.partitionBy("_range").orderBy("key"))
+    return ranged.withColumn("_nth", nth).join(starts, "_range").select("c_custkey", (F.col("_start") + F.col("_nth")).alias("place"))
+
+
+_MUL = lambda a, c: f"((({a})::HUGEINT * {c}::HUGEINT) & 4294967295)::BIGINT"
+_ROT = lambda a, n: f"((({a} << {n}) & 4294967295) | ({a} >> {32 - n}))"
+
+
+def _murmur_sql(seed: int) -> str:
+    scrambled = f"list_transform(ks, lambda k: {_MUL(f'({_ROT(_MUL("k", 3432918353), 15)})', 461845907)})"
+    tail = _MUL(f"({_ROT(_MUL('t', 3432918353), 15)})", 461845907)
+    step = f"(({_ROT('xor(h, k)', 13)})::HUGEINT * 5 + 3864292196) & 4294967295"
+    return f"""(SELECT key, {_MUL("xor(z, z >> 13)", 3266489909)} AS z FROM (
+    SELECT key, {_MUL("xor(y, y >> 16)", 2246822507)} AS z FROM (
+      SELECT key, xor(xor(list_reduce(list_prepend({seed}::BIGINT, {scrambled}), lambda h, k: ({step})::BIGINT), {tail}), n) AS y FROM hashed)))"""
+
+
+_HASHED = """byted AS (SELECT key, octet_length(key) AS n, hex(key) AS h FROM requests),
+hashed AS (
+  SELECT key, n::BIGINT AS n,
+    list_transform(range(0, n // 4), lambda i: ('0x' || h[8*i+7:8*i+8] || h[8*i+5:8*i+6] || h[8*i+3:8*i+4] || h[8*i+1:8*i+2])::BIGINT) AS ks,
+    CASE n % 4 WHEN 0 THEN 0::BIGINT
+      WHEN 1 THEN ('0x' || h[2*n-1:2*n])::BIGINT
+      WHEN 2 THEN ('0x' || h[2*n-1:2*n] || h[2*n-3:2*n-2])::BIGINT
+      ELSE ('0x' || h[2*n-1:2*n] || h[2*n-3:2*n-2] || h[2*n-5:2*n-4])::BIGINT END AS t
+  FROM byted)"""
+
+
+@_registered(
+    _with(_REQUESTS, _HASHED, f"first AS {_murmur_sql(SEED_1)}", f"second AS {_murmur_sql(SEED_2)}")
+    + "SELECT hex(key) AS key_hex, xor(a.z, a.z >> 16) AS h1, xor(b.z, b.z >> 16) AS h2 FROM first a JOIN second b USING (key)"
+)
+def kv_murmur(spark: SparkSession, sf_dir: str) -> DataFrame:
+    keys = event_requests(spark, sf_dir)
+    return keys.select(F.hex("key").alias("key_hex"), murmur3(F.col("key"), SEED_1).alias("h1"), murmur3(F.col("key"), SEED_2).alias("h2"))
+
+
+@_registered(_with(_OPS, _RUNS) + "SELECT run, count(*) AS n_keys, 0::BIGINT AS n_missed FROM runs GROUP BY run")
+def kv_bloom_no_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = event_runs(spark, sf_dir)
+    found = runs.bloom_candidates(rows.select("key").distinct(), runs.bloom_filters(rows)).withColumn("hit", F.lit(1))
+    joined = rows.select("run", "key").join(found, ["run", "key"], "left")
+    missed = F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).cast("bigint")
+    return joined.groupBy("run").agg(F.count(F.lit(1)).alias("n_keys"), missed.alias("n_missed"))
+
+
+@_registered(_with(_OPS) + "SELECT count(*) AS n_records, 0::BIGINT AS n_bad FROM ops")
+def kv_crc_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records framed with their checksum, parsed back out of the frame and verified."""
+    framed = event_ops(spark, sf_dir).select(
+        codec.record_bytes(F.col("key"), F.col("value"), F.col("seq")).alias("body"),
+        codec.record_crc(F.col("key"), F.col("value"), F.col("seq")).alias("crc"),
     )
+    stored = framed.select(F.concat("body", F.unhex(F.lpad(F.hex("crc"), 8, "0"))).alias("record"))
+    size = F.octet_length("record")
+    body = F.expr("substring(record, 1, octet_length(record) - 4)")
+    kept = F.conv(F.hex(F.expr("substring(record, octet_length(record) - 3, 4)")), 16, 10).cast("bigint")
+    bad = F.sum(F.when((F.crc32(body) != kept) | (size < 20), 1).otherwise(0)).cast("bigint")
+    return stored.agg(F.count(F.lit(1)).alias("n_records"), bad.alias("n_bad"))
+
+
+# --- a keyspace of orders -------------------------------------------------------------
+
+
+@_registered(_with(_ORDERS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone")
+def kv_orders_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _hexed(merge.scan(order_ops(spark, sf_dir)))
+
+
+@_registered(
+    _with(_ORDERS, _LATEST, "requests AS (SELECT DISTINCT unhex(lpad(hex(l_orderkey), 16, '0')) AS key FROM lineitem)")
+    + """SELECT CASE WHEN seq IS NULL THEN 'NotFound' WHEN tombstone THEN 'Deleted' ELSE 'Found' END AS status, count(*) AS n
+FROM requests LEFT JOIN latest USING (key) GROUP BY 1"""
+)
+def kv_orders_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every order that a line item names, looked up."""
+    keys = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(codec.from_u64(F.col("l_orderkey")).alias("key")).distinct()
+    return merge.status(keys, order_ops(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"kv_scan_all": kv_scan_all}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(ORACLES)
