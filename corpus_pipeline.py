@@ -27,8 +27,8 @@ SHINGLE, RADIUS, PARTS = 5, 9, 2
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier scores below its threshold."""
     model = llm_queries.classifier(spark, docs, sf_dir)
-    scored = quality_classifier.scores(docs, model, out="_score").where(F.col("_score") >= quality_classifier.ACCEPT)
-    return scored.drop("_score")
+    scored = quality_classifier.scores(docs, model, out="__score")
+    return scored.where(F.col("__score") >= quality_classifier.ACCEPT).drop("__score")
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

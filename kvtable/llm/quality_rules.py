@@ -37,13 +37,13 @@ SMOOTHING = 20.0
 MIN_SCORE = -0.08
 
 
-def statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """All columns of ``docs`` and ``_words`` (array) and ``_stats`` (struct of the base columns)."""
-    text = text_of(text_col)
+def statistics(rows: DataFrame) -> DataFrame:
+    """Rows with a ``_text`` get ``_words`` (array), ``_wh`` (their hashes) and ``_stats`` (struct of the base columns)."""
+    text = text_of("_text")
     lines = F.filter(
         F.split(text, "\n"), lambda line: F.trim(F.translate(line, "\t\x0b\x0c\r", "    ")) != F.lit("")
     )
-    first = docs.select("*", words_of(text).alias("_words"), lines.alias("_lines"))
+    first = rows.select("*", words_of(text).alias("_words"), lines.alias("_lines"))
     hashed = first.select("*", F.transform("_words", lambda w: F.xxhash64(w)).alias("_wh"))
     n_windows = F.size("_wh") - (WINDOW - 1)
     windows = F.transform(
@@ -142,9 +142,12 @@ def judge(
     min_score: float = MIN_SCORE,
     n_buckets: int = N_BUCKETS,
 ) -> DataFrame:
-    """All columns of ``docs`` and ``_q``: a struct of the base columns, ``base_failed``, ``score``, ``kept``."""
-    names = docs.columns
-    rows = statistics(docs.select("*", model.scalar().alias("_weights")), text_col)
+    """All columns of ``docs`` and ``_q``: a struct of the base columns, ``base_failed``, ``score``, ``kept``.
+
+    A column named ``_q`` is replaced; no other name can clash.
+    """
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "_q"])
+    rows = statistics(docs.select(given.alias("_in"), F.col(text_col).alias("_text"), model.scalar().alias("_weights")))
     rows = rows.select("*", grams(F.col("_wh"), n_buckets).alias("_grams"))
     total = F.aggregate(F.col("_grams"), F.lit(0.0), lambda acc, g: acc + F.get(F.col("_weights"), g))
     rows = rows.select("*", F.when(F.size("_grams") > 0, total / F.size("_grams")).otherwise(0.0).alias("_score"))
@@ -157,4 +160,4 @@ def judge(
         (~failed & (F.col("_score") >= F.lit(min_score))).alias("kept"),
     )
     # the one-row explode keeps a caller's filter above: pushed down, it would repeat all of the expressions
-    return rows.select(*[F.col(f"`{n}`") for n in names], F.explode(F.array(verdict)).alias("_q"))
+    return rows.select("_in", F.explode(F.array(verdict)).alias("_q")).select("_in.*", "_q")

@@ -138,8 +138,8 @@ def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
 
     def search(fp: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
         pairs = [x for g in _linked(fp, np.diff(cuts), radius) for x in _spanning(fp[cuts[g] : cuts[g + 1]], radius)]
-        ends = [np.concatenate(x).view(np.int64) if pairs else np.zeros(0, np.int64) for x in zip(*pairs, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends or ([], [])], names=["a", "b"])
+        ends = [np.concatenate(x).view(np.int64) for x in zip(*pairs, strict=True)] or [np.zeros(0, np.int64)] * 2
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b"])
 
     held: list[np.ndarray] = []  # the columns of the last group so far
     for rows in batches:
@@ -152,7 +152,7 @@ def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
         new = (np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)
         cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
         held = [c[cuts[-1] :] for c in columns]
-        yield search(fp.view(np.uint64), cuts)
+        yield search(fp[: cuts[-1]].view(np.uint64), cuts)
     if held:
         yield search(held[3].view(np.uint64), np.array([0, len(held[3])]))
 
@@ -221,6 +221,7 @@ def deduplicated(
     stays = named.groupBy("component").agg(F.min(order).alias("_k")).select(
         F.col("_k.doc_id").alias("_id"), F.col("_k._h").alias("_stays")
     )
-    rows = docs.select("*", row_hash.alias("_row_hash"))
-    kept = rows.join(stays, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_stays")), "left_semi")
-    return kept.dropDuplicates([id_col, "_row_hash"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(given.alias("_in"), F.col(id_col).alias("_own"), row_hash.alias("_row_hash"))
+    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_stays")), "left_semi")
+    return kept.dropDuplicates(["_own", "_row_hash"]).select("_in.*")

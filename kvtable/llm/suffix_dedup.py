@@ -39,6 +39,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import DataFrame
@@ -110,14 +111,21 @@ def anchored(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray,
 
 
 class Run:
-    """The texts of one run and their anchors."""
+    """The texts of one run and their anchors.
+
+    Rows arrive in any order, another one each time they are read; they are
+    taken in the order of id and text (``order``), so that each step finds
+    the same stretches.
+    """
 
     def __init__(self, ids: list, texts: list, span: int):
         self.span = span
-        encoded = [t.encode() if t else b"" for t in texts]
+        rows = sorted((NO_ID if i is None else i, t.encode() if t else b"", n) for n, (i, t) in enumerate(zip(ids, texts, strict=True)))
+        encoded = [t for _, t, _ in rows]
+        self.order = [n for _, _, n in rows]
         self.bytes = b"".join(encoded)
         self.ends = np.cumsum([len(t) for t in encoded], dtype=np.int64)
-        self.ids = np.array([NO_ID if i is None else i for i in ids], np.int64)
+        self.ids = np.array([i for i, _, _ in rows], np.int64)
         data = np.frombuffer(self.bytes, np.uint8)
         self.first, self.last, self.anchor, self.hash = anchored(data, self.ends, span)
         self.row = np.searchsorted(self.ends, self.first, side="right")
@@ -195,15 +203,15 @@ def front_coded(found: dict, span: int) -> bytes:
     """The sorted contexts of one part: shared prefix lengths, lengths, least ids, rests, bytes before."""
     entries = sorted(found)
     shared, sizes, before, rests = bytearray(), bytearray(), bytearray(), []
-    previous = None
+    previous, size = 0, 0
     for suffix, left in entries:
         key = _key(suffix, span)
-        n = min(len(suffix), _shared(previous, key, span)) if previous is not None else 0
+        n = min(size, len(suffix), _shared(previous, key, span))  # keys are filled up with zero bytes
         shared.append(n)
         sizes.append(len(suffix))
         before.append(len(left))
         rests.append(suffix[n:])
-        previous = key
+        previous, size = key, len(suffix)
     ids = np.array([found[e] for e in entries], "<i8").tobytes()
     lefts = b"".join(left for _, left in entries)
     head = np.array([len(entries), len(lefts)], "<i8").tobytes()
@@ -354,7 +362,7 @@ def _answers(blob: bytes) -> Iterator[list[tuple[int, int]]]:
 
 
 def removals(run: Run, parts: list[dict], places: list[tuple], answers: dict[int, bytes]) -> list[list[tuple[int, int]]]:
-    """Step 4: of each row the maximal removed stretches, as byte offsets in its text."""
+    """Step 4: of each row, in the order given, the maximal removed stretches, as byte offsets in its text."""
     least = {
         (part, key): found
         for part, blob in answers.items()
@@ -377,7 +385,7 @@ def removals(run: Run, parts: list[dict], places: list[tuple], answers: dict[int
         while True:  # a stretch may touch the next document's
             end = min(b, int(run.ends[row]))
             if end > a:
-                out[row].append((a - int(starts[row]), end - int(starts[row])))
+                out[run.order[row]].append((a - int(starts[row]), end - int(starts[row])))
             if end == b:
                 break
             a, row = end, row + 1
@@ -485,15 +493,15 @@ def dedup(
     def resolved(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         answers = resolve_part(table.column("data").to_pylist(), span)
-        return _table([(part, n, a, b"!") for n, a in zip(table.column("run").to_pylist(), answers, strict=True)], MESSAGE)
+        return _table([(part, n, a, None) for n, a in zip(table.column("run").to_pylist(), answers, strict=True)], MESSAGE)
 
     carried = [i for i, f in enumerate(fields) if f.name != text_col]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def cut_rows(table: pa.Table, messages: pa.Table) -> pa.Table:
-        kinds = np.array([f == b"!" for f in messages.column("flags").to_pylist()], bool)
-        run, parts, places = candidates(table, messages.filter(pa.array(~kinds)))
-        back = messages.filter(pa.array(kinds))
+        is_answer = messages.column("flags").is_null()  # only hash flags come with a second bit list
+        run, parts, places = candidates(table, messages.filter(pc.invert(is_answer)))
+        back = messages.filter(is_answer)
         answers = dict(zip(back.column("part").to_pylist(), back.column("data").to_pylist(), strict=True))
         spans = removals(run, parts, places, answers)
         texts = table.column("_text").to_pylist()

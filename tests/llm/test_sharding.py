@@ -1,0 +1,67 @@
+import hashlib
+import math
+import zlib
+from collections import Counter
+
+import pytest
+
+from kvtable.llm import queries, sharding
+
+
+def brute(tree, key):
+    """The descent, child by child."""
+    nodes, path = tree.children(), ""
+    for _ in range(3):
+        def draw(child):
+            name, weight = child
+            u = (int(hashlib.md5(f"{key}|{name}".encode()).hexdigest()[:13], 16) + 1) / 16**13
+            return -math.log(u) / weight, name
+        path = min(map(draw, nodes[path]))[1]
+    return path
+
+
+def test_rows(spark, edge, edge_rows, empty, clashing):
+    tree = sharding.uniform_tree(24)
+    want = sorted(
+        (str(i), len((t or "").encode()) + 8, zlib.crc32((t or "").encode()), brute(tree, "" if i is None else i)) for i, t, *_ in edge_rows
+    )
+    for df in (edge, clashing):
+        rows = sharding.placement(df, tree).collect()
+        assert sorted((str(r["doc_id"]), r["size"], r["text_crc32"], r["path"]) for r in rows) == want
+        for shard in {r["shard"] for r in rows}:
+            slots = sorted(r["slot"] for r in rows if r["shard"] == shard)
+            assert slots == list(range(len(slots)))
+    assert sharding.placement(empty, tree).count() == 0
+
+
+def test_one_more_shard_takes_rows_only_into_itself(spark, small):
+    rows = queries.op6_sharding(spark, small).collect()
+    moved = [r for r in rows if r["grown_shard"] != r["shard"]]
+    assert moved and {r["grown_shard"] for r in moved} == {24}
+    assert {r["law"] for r in rows} == {"key"} and {r["shard"] for r in rows} <= set(range(24))
+
+
+def test_movement_stays_in_the_changed_subtree(spark):
+    docs = spark.range(20_000).withColumnRenamed("id", "doc_id")
+    tree = sharding.uniform_tree(24)
+    heavier = sharding.Tree({k: {s: 3.0 if s == 5 else w for s, w in v.items()} for k, v in tree.racks.items()})
+    both = sharding.assign(sharding.assign(docs, tree, out="a"), heavier, out="b").select("a", "b").collect()
+    counts = Counter(r["a"] for r in both)
+    assert min(counts.values()) > 650 and max(counts.values()) < 1020
+    shard_of_region = lambda s: s // 12
+    for r in both:
+        if r["a"] != r["b"]:  # rows come into region 0, rack 1 or shard 5, and none leaves them
+            assert shard_of_region(r["b"]) == 0 and (shard_of_region(r["a"]) == 1 or r["b"] // 4 == 1)
+            assert r["a"] != 5
+    share = sum(r["b"] == 5 for r in both) / len(both)
+    assert 0.09 < share < 0.14  # 3 of 26
+
+
+def test_weights(spark):
+    with pytest.raises(ValueError):
+        sharding.uniform_tree(0)
+    with pytest.raises(ValueError):
+        sharding.Tree({"r0/k0": {0: 0.0}}).children()
+    only = sharding.Tree({"r0/k0": {0: 0.0, 1: 2.0}, "r1/k1": {2: 0.0}})
+    got = sharding.assign(spark.range(50).withColumnRenamed("id", "doc_id"), only)
+    assert {r["shard"] for r in got.collect()} == {1}
