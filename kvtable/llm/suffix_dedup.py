@@ -20,7 +20,7 @@ that windows of the anchor reach back to (its context).
    loser, the length of the prefix it shares with the winner.  A longer known
    prefix wins unseen; only on equal lengths are the parts beyond compared.
    Neighbours that share a gram form a group, in which every window gets its
-   least document id.  Anchors that occur in more than ``hot_runs`` runs are
+   least document id.  Anchors with more than ``hot`` different contexts are
    sent window by window instead, by the window's hash, so that no group
    outgrows a task.
 4. The answers go back to the runs, which mark and cut.
@@ -36,11 +36,11 @@ shorter than a span are untouched.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -49,11 +49,15 @@ from pyspark.sql import types as T
 from kvtable.llm.common import ceil_div
 
 SPAN = 50
+#: Bytes of a gram, a multiple of 8, and an odd factor for each 8 of them.
 GRAM = 24
+ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 RUN_BYTES = 4 << 20
-HOT_RUNS = 64
+#: Different contexts, counted per run, from which an anchor's windows go separately.
+HOT = 20_000
 #: Window starts whose anchors are looked for at a time; the low bits of a key hold a place in it.
-BLOCK_BITS = 22
+BLOCK_BITS = 16
+MOST = 127
 NO_ID = np.iinfo(np.int64).max
 
 
@@ -63,9 +67,10 @@ NO_ID = np.iinfo(np.int64).max
 def _gram_hashes(data: np.ndarray) -> np.ndarray:
     """64-bit hash of the GRAM bytes at each place."""
     n = len(data) - GRAM + 1
-    total = np.zeros(n, np.uint64)
-    for k, odd in zip(range(0, GRAM, 8), (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9), strict=True):
-        total += np.ndarray((n,), "<u8", data, offset=k, strides=(1,)) * np.uint64(odd)
+    words = np.ascontiguousarray(np.ndarray((len(data) - 7,), "<u8", data, strides=(1,)))
+    total = words[:n] * np.uint64(ODD[0])
+    for k in range(8, GRAM, 8):
+        total += words[k : k + n] * np.uint64(ODD[k // 8])
     total ^= total >> np.uint64(29)
     total *= np.uint64(0xBF58476D1CE4E5B9)
     total ^= total >> np.uint64(32)
@@ -81,33 +86,34 @@ def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 
 
 def anchored(data: np.ndarray, ends: np.ndarray, span: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Stretches of neighbouring windows with one anchor: first and last window start, anchor, anchor's hash.
+    """All gram hashes, and the stretches of neighbouring windows with one anchor: first and last window start, anchor.
 
     ``data`` is the documents' bytes one after the other, ``ends`` where each ends.
     """
     n_windows = len(data) - span + 1
     if n_windows <= 0:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.astype(np.uint64)
+        return none.astype(np.uint64), none, none, none
     valid = np.ones(n_windows, bool)
     for end in ends[:-1]:
         valid[max(0, end - span + 1) : end] = False
     width = span - GRAM + 1
     low = np.uint64((1 << BLOCK_BITS) - 1)
+    grams = np.empty(len(data) - GRAM + 1, np.uint64)
     found = []
     step = (1 << BLOCK_BITS) - width
     for at in range(0, n_windows, step):
         size = min(step, n_windows - at)
         hashes = _gram_hashes(data[at : at + size + span - 1])
+        grams[at : at + len(hashes)] = hashes
         keys = (hashes & ~low) | np.arange(len(hashes), dtype=np.uint64)
         least = _sliding_min(keys, width)
         here = valid[at : at + size]
         turn = least[1:] != least[:-1]
         first = np.flatnonzero(here & np.concatenate([[True], turn | ~here[:-1]]))
         last = np.flatnonzero(here & np.concatenate([turn | ~here[1:], [True]]))
-        place = (least[first] & low).astype(np.int64)
-        found.append((first + at, last + at, place + at, hashes[place]))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+        found.append((first + at, last + at, (least[first] & low).astype(np.int64) + at))
+    return grams, *(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Run:
@@ -126,17 +132,43 @@ class Run:
         self.bytes = b"".join(encoded)
         self.ends = np.cumsum([len(t) for t in encoded], dtype=np.int64)
         self.ids = np.array([i for i, _, _ in rows], np.int64)
-        data = np.frombuffer(self.bytes, np.uint8)
-        self.first, self.last, self.anchor, self.hash = anchored(data, self.ends, span)
+        self.grams, self.first, self.last, self.anchor = anchored(np.frombuffer(self.bytes, np.uint8), self.ends, span)
+        self.hash = self.grams[self.anchor]
         self.row = np.searchsorted(self.ends, self.first, side="right")
-        self.doc = self.ids[self.row]
-        order = np.lexsort((self.doc, self.hash))
-        ordered, docs = self.hash[order], self.doc[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]]) if len(ordered) else np.zeros(0, bool)
+        self.unique = np.unique(self.hash)
+
+    def _mixed(self, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """A hash of the bytes from ``first`` to the end of the window at ``last``, by grams that cover them."""
+        end = last + (self.span - GRAM)
+        total = (anchor - first).astype(np.uint64) * np.uint64(ODD[3]) + (last - first).astype(np.uint64)
+        for at in range(0, self.span, GRAM):
+            for place in (np.minimum(first + at, anchor), np.minimum(anchor + at, end)):
+                total = (total ^ self.grams[place]) * np.uint64(ODD[0])
+                total ^= total >> np.uint64(32)
+        return (total ^ self.grams[end]) * np.uint64(ODD[1])
+
+    def contexts(self, stretches: np.ndarray | slice = slice(None)) -> np.ndarray:
+        """A hash of the context of each stretch."""
+        return self._mixed(self.first[stretches], self.last[stretches], self.anchor[stretches])
+
+    def windows(self, at: np.ndarray) -> np.ndarray:
+        """A hash of each window."""
+        return self._mixed(at, at, at)
+
+    def marks(self) -> np.ndarray:
+        """Of each unique hash the number of its contexts, up to MOST, plus MOST + 1 if two documents have it."""
+        if not len(self.hash):
+            return np.zeros(0, np.uint8)
+        doc, shape = self.ids[self.row], self.contexts()
+        order = np.lexsort((doc, self.hash))
+        ordered, docs = self.hash[order], doc[order]
+        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
         starts = np.flatnonzero(new)
-        self.unique = ordered[starts]
-        other = ~new & np.concatenate([[False], docs[1:] != docs[:-1]]) if len(ordered) else new
-        self.many = np.logical_or.reduceat(other, starts) if len(starts) else other
+        many = np.logical_or.reduceat(~new & np.concatenate([[False], docs[1:] != docs[:-1]]), starts)
+        by_shape = np.lexsort((shape, self.hash))
+        changed = (np.diff(self.hash[by_shape]) != 0) | (np.diff(shape[by_shape]) != 0)
+        counts = np.add.reduceat(np.concatenate([[1], changed]).astype(np.int64), starts)
+        return (np.minimum(counts, MOST) + (MOST + 1) * many).astype(np.uint8)
 
 
 def parts_of(hashes: np.ndarray, n_parts: int) -> np.ndarray:
@@ -162,32 +194,90 @@ def _unpack_sorted(blob: bytes) -> np.ndarray:
 # --- contexts ----------------------------------------------------------------
 
 
-def contexts(run: Run, again: np.ndarray, hot: np.ndarray, n_parts: int) -> tuple[list[dict], list[tuple]]:
-    """Of each part: context (suffix at the anchor, bytes before it) to least id; and the places of each context.
+class Entries:
+    """A run's different contexts, in the order of their hashes, and the places where they occur.
 
-    ``again`` and ``hot`` are flags of the run's unique hashes.
+    Equal hashes (of the anchor and of the context, 128 bits) within a run
+    count as equal bytes; between runs the bytes themselves are compared.
     """
-    span, data = run.span, run.bytes
-    index = np.searchsorted(run.unique, run.hash)
-    taken = np.flatnonzero(again[index])
-    parts: list[dict] = [{} for _ in range(n_parts)]
-    places = []
-    columns = (run.first, run.last, run.anchor, parts_of(run.hash, n_parts), hot[index], run.row, run.doc)
-    for first, last, anchor, part, is_hot, row, doc in zip(*(c[taken].tolist() for c in columns), strict=True):
-        if is_hot:
-            for at in range(first, last + 1):
-                window = data[at : at + span]
-                where = (xxhash.xxh64_intdigest(window) >> 32) * n_parts >> 32
-                key = (window, b"")
-                held = parts[where]
-                held[key] = min(doc, held.get(key, doc))
-                places.append((row, at, where, key))
-        else:
-            key = (data[anchor : last + span], data[first:anchor])
-            held = parts[part]
-            held[key] = min(doc, held.get(key, doc))
-            places.append((row, first, part, key))
-    return parts, places
+
+    def __init__(self, run: Run, again: np.ndarray, hot: np.ndarray, n_parts: int):
+        """``again`` and ``hot`` are flags of the run's unique hashes."""
+        self.run = run
+        index = np.searchsorted(run.unique, run.hash)
+        plain = np.flatnonzero(again[index] & ~hot[index])
+        single = np.flatnonzero(again[index] & hot[index])
+        sizes = run.last[single] - run.first[single] + 1
+        starts = np.repeat(run.first[single], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        first, last, anchor = (np.concatenate([x[plain], starts]) for x in (run.first, run.last, run.anchor))
+        key = np.concatenate([run.hash[plain], run.windows(starts)])
+        shape = np.concatenate([run.contexts(plain), np.zeros(len(starts), np.uint64)])
+        row = np.concatenate([run.row[plain], np.repeat(run.row[single], sizes)])
+        order = np.lexsort((shape, key))
+        self.at, self.row = first[order], row[order]
+        key, shape = key[order], shape[order]
+        new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(shape) != 0)])[: len(key)]
+        self.starts = np.flatnonzero(new)
+        self.entry = np.cumsum(new) - 1  # of each place
+        one = order[self.starts]
+        self.first, self.last, self.anchor = first[one], last[one], anchor[one]
+        self.least = np.minimum.reduceat(run.ids[self.row], self.starts) if len(key) else np.zeros(0, np.int64)
+        self.cuts = np.searchsorted(parts_of(key[self.starts], n_parts), np.arange(n_parts + 1)).tolist()
+
+    def coded(self, part: int) -> bytes:
+        """The contexts of one part, sorted by the suffix at the anchor and front-coded.
+
+        Prefix shared with the one before, sizes, least ids, the place in
+        the order of hashes, the bytes before the anchors, and the rests.
+        """
+        span, data, at = self.run.span, self.run.bytes, self.cuts[part]
+        columns = (x[at : self.cuts[part + 1]].tolist() for x in (self.first, self.last, self.anchor))
+        entries = sorted((data[a : z + span], data[f:a], n) for n, (f, z, a) in enumerate(zip(*columns, strict=True)))
+        shared, sizes, before, rests = bytearray(), bytearray(), bytearray(), []
+        previous, size = 0, 0
+        for suffix, left, _ in entries:
+            key = int.from_bytes(suffix.ljust(span, b"\0"), "big")
+            n = min(size, len(suffix), span - (((previous ^ key).bit_length() + 7) >> 3))  # keys are filled up with zero bytes
+            previous, size = key, len(suffix)
+            shared.append(n)
+            sizes.append(size)
+            before.append(len(left))
+            rests.append(suffix[n:])
+        places = np.array([n for _, _, n in entries], "<u4")
+        lefts = b"".join(left for _, left, _ in entries)
+        head = np.array([len(entries), len(lefts)], "<i8").tobytes()
+        numbers = self.least[at + places.astype(np.int64)].astype("<i8").tobytes() + places.tobytes()
+        return zstandard.compress(head + bytes(shared) + bytes(sizes) + bytes(before) + numbers + lefts + b"".join(rests), 3)
+
+    def spans(self, answers: dict[int, bytes]) -> list[list[tuple[int, int]]]:
+        """Step 4: of each row, in the order given, the maximal removed stretches, as byte offsets in its text."""
+        run = self.run
+        parts = [_answered(answers[p]) for p in range(len(self.cuts) - 1) if self.cuts[p] < self.cuts[p + 1]]
+        out: list[list[tuple[int, int]]] = [[] for _ in run.order]
+        if not parts:
+            return out
+        counts, lengths, least = (np.concatenate(x) for x in zip(*parts, strict=True))
+        begins = np.cumsum(counts) - counts
+        upto = np.cumsum(lengths) - lengths
+        upto -= np.repeat(upto[begins], counts)  # windows of the entry before each stretch
+        n = counts[self.entry]
+        stretch = np.repeat(begins[self.entry] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        gone = least[stretch] < np.repeat(run.ids[self.row], n)
+        start = (np.repeat(self.at, n) + upto[stretch])[gone]
+        end = start + lengths[stretch[gone]] - 1 + run.span
+        change = np.bincount(start, minlength=len(run.bytes) + 1) - np.bincount(end, minlength=len(run.bytes) + 1)
+        covered = np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]]).astype(np.int8)
+        starts = np.concatenate([[0], run.ends[:-1]])
+        for a, b in np.flatnonzero(np.diff(covered)).reshape(-1, 2).tolist():
+            row = int(np.searchsorted(run.ends, a, side="right"))
+            while True:  # a stretch may touch the next document's
+                stop = min(b, int(run.ends[row]))
+                if stop > a:
+                    out[run.order[row]].append((a - int(starts[row]), stop - int(starts[row])))
+                if stop == b:
+                    break
+                a, row = stop, row + 1
+        return out
 
 
 def _key(suffix: bytes, span: int) -> int:
@@ -199,44 +289,26 @@ def _shared(a: int, b: int, span: int) -> int:
     return span - (((a ^ b).bit_length() + 7) >> 3)
 
 
-def front_coded(found: dict, span: int) -> bytes:
-    """The sorted contexts of one part: shared prefix lengths, lengths, least ids, rests, bytes before."""
-    entries = sorted(found)
-    shared, sizes, before, rests = bytearray(), bytearray(), bytearray(), []
-    previous, size = 0, 0
-    for suffix, left in entries:
-        key = _key(suffix, span)
-        n = min(size, len(suffix), _shared(previous, key, span))  # keys are filled up with zero bytes
-        shared.append(n)
-        sizes.append(len(suffix))
-        before.append(len(left))
-        rests.append(suffix[n:])
-        previous, size = key, len(suffix)
-    ids = np.array([found[e] for e in entries], "<i8").tobytes()
-    lefts = b"".join(left for _, left in entries)
-    head = np.array([len(entries), len(lefts)], "<i8").tobytes()
-    return zstandard.compress(head + bytes(shared) + bytes(sizes) + bytes(before) + ids + lefts + b"".join(rests), 3)
-
-
-def _coded(blob: bytes, span: int) -> tuple[list[int], bytes, list[tuple[bytes, bytes]], list[int]]:
-    """Keys, shared prefix lengths, contexts and least ids."""
+def _coded(blob: bytes, span: int) -> tuple[list[int], bytes, list[tuple[bytes, bytes]], list[int], np.ndarray]:
+    """Keys, shared prefix lengths, contexts, least ids, and the places in the order of hashes."""
     raw = zstandard.decompress(blob)
     n, n_left = np.frombuffer(raw, "<i8", 2).tolist()
     at = 16
     shared, sizes, before = raw[at : at + n], raw[at + n : at + 2 * n], raw[at + 2 * n : at + 3 * n]
     at += 3 * n
     ids = np.frombuffer(raw, "<i8", n, at).tolist()
-    left_at = at + 8 * n
+    places = np.frombuffer(raw, "<u4", n, at + 8 * n)
+    left_at = at + 12 * n
     rest_at = left_at + n_left
     keys, entries, suffix = [], [], b""
-    for i in range(n):
-        size = sizes[i] - shared[i]
-        suffix = suffix[: shared[i]] + raw[rest_at : rest_at + size]
-        rest_at += size
-        entries.append((suffix, raw[left_at : left_at + before[i]]))
-        left_at += before[i]
-        keys.append(_key(suffix, span))
-    return keys, shared, entries, ids
+    for same, size, n_before in zip(shared, sizes, before, strict=True):
+        end = rest_at + size - same
+        suffix = suffix[:same] + raw[rest_at:end]
+        rest_at = end
+        entries.append((suffix, raw[left_at : left_at + n_before]))
+        left_at += n_before
+        keys.append(int.from_bytes(suffix.ljust(span, b"\0"), "big"))
+    return keys, shared, entries, ids, places
 
 
 def merged(runs: list[tuple[list[int], bytes]], span: int) -> Iterator[tuple[int, int, int]]:
@@ -295,37 +367,36 @@ def merged(runs: list[tuple[list[int], bytes]], span: int) -> Iterator[tuple[int
 
 
 def _least_ids(group: list[tuple[tuple[bytes, bytes], int]], span: int) -> dict:
-    """Of each context of a group: [number of windows, least id] along its windows."""
+    """Of each context of a group: (number of windows, least id) along its windows."""
     least: dict = {}
     for context, doc in group:
-        least[context] = min(doc, least.get(context, doc))
+        if least.get(context, NO_ID) >= doc:
+            least[context] = doc
     if len(least) == 1:
         ((context, doc),) = least.items()
-        return {context: [(len(context[0]) + len(context[1]) - span + 1, doc)]}
+        return {context: ((len(context[0]) + len(context[1]) - span + 1, doc),)}
     windows: dict[bytes, int] = {}
     for (suffix, left), doc in least.items():
         whole = left + suffix
         for j in range(len(whole) - span + 1):
             w = whole[j : j + span]
-            windows[w] = min(doc, windows.get(w, doc))
+            if windows.get(w, NO_ID) >= doc:
+                windows[w] = doc
     out = {}
     for suffix, left in least:
         whole = left + suffix
-        stretches: list[list[int]] = []
-        for j in range(len(whole) - span + 1):
-            doc = windows[whole[j : j + span]]
-            if stretches and stretches[-1][1] == doc:
-                stretches[-1][0] += 1
-            else:
-                stretches.append([1, doc])
-        out[suffix, left] = stretches
+        docs = [windows[whole[j : j + span]] for j in range(len(whole) - span + 1)]
+        if docs.count(docs[0]) == len(docs):
+            out[suffix, left] = ((len(docs), docs[0]),)
+        else:
+            out[suffix, left] = tuple((len(list(same)), doc) for doc, same in groupby(docs))
     return out
 
 
 def resolve_part(blobs: list[bytes], span: int) -> list[bytes]:
-    """Step 3 for one hash range: for each run's contexts, in its order, the least ids along their windows."""
+    """Step 3 for one hash range: for each run's contexts, in the order of hashes, the least ids along their windows."""
     runs = [_coded(blob, span) for blob in blobs]
-    answers: list[list] = [[None] * len(keys) for keys, _, _, _ in runs]
+    answers: list[list] = [[None] * len(run[0]) for run in runs]
     group: list[tuple[int, int]] = []
 
     def close() -> None:
@@ -333,7 +404,7 @@ def resolve_part(blobs: list[bytes], span: int) -> list[bytes]:
         for r, i in group:
             answers[r][i] = found[runs[r][2][i]]
 
-    for r, i, shared in merged([(keys, shared) for keys, shared, _, _ in runs], span):
+    for r, i, shared in merged([run[:2] for run in runs], span):
         if group and shared < GRAM:
             close()
             group = []
@@ -341,55 +412,22 @@ def resolve_part(blobs: list[bytes], span: int) -> list[bytes]:
     if group:
         close()
     out = []
-    for found in answers:
-        counts = np.array([len(x) for x in found], np.uint8)
-        lengths = np.array([n for x in found for n, _ in x], np.uint8)
-        docs = np.array([d for x in found for _, d in x], "<i8")
+    for found, run in zip(answers, runs, strict=True):
+        ordered = [found[i] for i in np.argsort(run[4]).tolist()]
+        counts = np.array([len(x) for x in ordered], np.uint8)
+        lengths = np.array([n for x in ordered for n, _ in x], np.uint8)
+        docs = np.array([d for x in ordered for _, d in x], "<i8")
         head = np.array([len(counts), len(lengths)], "<i8").tobytes()
         out.append(zstandard.compress(head + counts.tobytes() + lengths.tobytes() + docs.tobytes(), 3))
     return out
 
 
-def _answers(blob: bytes) -> Iterator[list[tuple[int, int]]]:
+def _answered(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each context the number of its stretches; of each stretch the windows and their least id."""
     raw = zstandard.decompress(blob)
     n, m = np.frombuffer(raw, "<i8", 2).tolist()
-    counts, lengths = raw[16 : 16 + n], raw[16 + n : 16 + n + m]
-    docs = np.frombuffer(raw, "<i8", m, 16 + n + m).tolist()
-    at = 0
-    for count in counts:
-        yield list(zip(lengths[at : at + count], docs[at : at + count], strict=True))
-        at += count
-
-
-def removals(run: Run, parts: list[dict], places: list[tuple], answers: dict[int, bytes]) -> list[list[tuple[int, int]]]:
-    """Step 4: of each row, in the order given, the maximal removed stretches, as byte offsets in its text."""
-    least = {
-        (part, key): found
-        for part, blob in answers.items()
-        for key, found in zip(sorted(parts[part]), _answers(blob), strict=True)
-    }
-    change = np.zeros(len(run.bytes) + 1, np.int32)
-    ids = run.ids.tolist()
-    for row, at, part, key in places:
-        for n, doc in least[part, key]:
-            if doc < ids[row]:
-                change[at] += 1
-                change[at + n - 1 + run.span] -= 1
-            at += n
-    covered = np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]]).astype(np.int8)
-    edges = np.flatnonzero(np.diff(covered))
-    out: list[list[tuple[int, int]]] = [[] for _ in ids]
-    starts = np.concatenate([[0], run.ends[:-1]])
-    for a, b in edges.reshape(-1, 2).tolist():
-        row = int(np.searchsorted(run.ends, a, side="right"))
-        while True:  # a stretch may touch the next document's
-            end = min(b, int(run.ends[row]))
-            if end > a:
-                out[run.order[row]].append((a - int(starts[row]), end - int(starts[row])))
-            if end == b:
-                break
-            a, row = end, row + 1
-    return out
+    counts, lengths = (np.frombuffer(raw, np.uint8, k, at).astype(np.int64) for k, at in ((n, 16), (m, 16 + n)))
+    return counts, lengths, np.frombuffer(raw, "<i8", m, 16 + n + m)
 
 
 def whole_characters(data: bytes, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -422,7 +460,7 @@ def dedup(
     text_col: str = "text",
     span: int = SPAN,
     run_bytes: int = RUN_BYTES,
-    hot_runs: int = HOT_RUNS,
+    hot: int = HOT,
 ) -> DataFrame:
     """All columns of ``docs`` and ``removed`` (ARRAY of (start, end) byte offsets) and ``kept`` (BINARY).
 
@@ -450,8 +488,9 @@ def dedup(
         run = run_of(table)
         number = table.column("_run")[0].as_py()
         cuts = np.searchsorted(parts_of(run.unique, n_parts), np.arange(n_parts + 1))
+        marks = run.marks()
         sent = [
-            (p, number, _pack_sorted(run.unique[a:b]), np.packbits(run.many[a:b]).tobytes())
+            (p, number, _pack_sorted(run.unique[a:b]), zstandard.compress(marks[a:b].tobytes(), 1))
             for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
             if b > a
         ]
@@ -461,34 +500,33 @@ def dedup(
         part = table.column("part")[0].as_py()
         numbers = table.column("run").to_pylist()
         lists = [_unpack_sorted(b) for b in table.column("data").to_pylist()]
-        many = [np.unpackbits(np.frombuffer(f, np.uint8), count=len(x)) for f, x in zip(table.column("flags").to_pylist(), lists, strict=True)]
+        marks = np.concatenate([np.frombuffer(zstandard.decompress(f), np.uint8) for f in table.column("flags").to_pylist()])
         _, inverse, counts = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
-        inside = np.zeros(len(counts), bool)
-        np.logical_or.at(inside, inverse, np.concatenate(many).astype(bool))
-        again, hot = (counts > 1) | inside, counts > hot_runs
+        inside = np.bincount(inverse, marks > MOST) > 0
+        again, is_hot = (counts > 1) | inside, np.bincount(inverse, marks & MOST) > hot
         at, sent = 0, []
         for number, x in zip(numbers, lists, strict=True):
             index = inverse[at : at + len(x)]
             at += len(x)
-            sent.append((part, number, np.packbits(again[index]).tobytes(), np.packbits(hot[index]).tobytes()))
+            sent.append((part, number, np.packbits(again[index]).tobytes(), np.packbits(is_hot[index]).tobytes()))
         return _table(sent, MESSAGE)
 
-    def candidates(table: pa.Table, flags: pa.Table) -> tuple[Run, list[dict], list[tuple]]:
+    def candidates(table: pa.Table, flags: pa.Table) -> Entries:
         run = run_of(table)
-        again, hot = np.zeros(len(run.unique), bool), np.zeros(len(run.unique), bool)
+        again, is_hot = np.zeros(len(run.unique), bool), np.zeros(len(run.unique), bool)
         cuts = np.searchsorted(parts_of(run.unique, n_parts), np.arange(n_parts + 1)).tolist()
         for part, data, more in zip(*(flags.column(c).to_pylist() for c in ("part", "data", "flags")), strict=True):
             a, b = cuts[part], cuts[part + 1]
             again[a:b] = np.unpackbits(np.frombuffer(data, np.uint8), count=b - a)
-            hot[a:b] = np.unpackbits(np.frombuffer(more, np.uint8), count=b - a)
-        return run, *contexts(run, again, hot, n_parts)
+            is_hot[a:b] = np.unpackbits(np.frombuffer(more, np.uint8), count=b - a)
+        return Entries(run, again, is_hot, n_parts)
 
     def suffixes(table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([], MESSAGE)
         number = table.column("_run")[0].as_py()
-        _, parts, _ = candidates(table, flags)
-        return _table([(p, number, front_coded(found, span), None) for p, found in enumerate(parts) if found], MESSAGE)
+        found = candidates(table, flags)
+        return _table([(p, number, found.coded(p), None) for p in range(n_parts) if found.cuts[p] < found.cuts[p + 1]], MESSAGE)
 
     def resolved(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
@@ -500,10 +538,9 @@ def dedup(
 
     def cut_rows(table: pa.Table, messages: pa.Table) -> pa.Table:
         is_answer = messages.column("flags").is_null()  # only hash flags come with a second bit list
-        run, parts, places = candidates(table, messages.filter(pc.invert(is_answer)))
+        found = candidates(table, messages.filter(pc.invert(is_answer)))
         back = messages.filter(is_answer)
-        answers = dict(zip(back.column("part").to_pylist(), back.column("data").to_pylist(), strict=True))
-        spans = removals(run, parts, places, answers)
+        spans = found.spans(dict(zip(back.column("part").to_pylist(), back.column("data").to_pylist(), strict=True)))
         texts = table.column("_text").to_pylist()
         kept = [cut((t or "").encode(), s) for t, s in zip(texts, spans, strict=True)]
         columns = {f"_c{i}": table.column(f"_c{i}") for i in carried}
@@ -537,3 +574,26 @@ MESSAGE = pa.schema([("part", pa.int64()), ("run", pa.int64()), ("data", pa.bina
 def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
     columns = zip(*rows, strict=True) if rows else [[] for _ in schema]
     return pa.table([pa.array(list(c), f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+
+def oracle(span: int = SPAN) -> str:
+    """Digests of the kept bytes of ``documents`` in DuckDB SQL, from every string of ``span`` bytes."""
+    return f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t FROM documents),
+windows AS (
+  SELECT r, doc_id, j, t[j + 1 : j + {span}] AS w
+  FROM (SELECT r, doc_id, t, unnest(range(0, octet_length(t) - {span - 1})) AS j FROM docs)),
+firsts AS (SELECT w, min(doc_id) AS least FROM windows GROUP BY w),
+gone AS (SELECT r, j FROM windows JOIN firsts USING (w) WHERE least < doc_id OR (doc_id IS NULL AND least IS NOT NULL)),
+marked AS (SELECT r, j, coalesce(j > lag(j) OVER w + {span}, true) AS fresh FROM gone WINDOW w AS (PARTITION BY r ORDER BY j)),
+numbered AS (SELECT r, j, sum(fresh::INT) OVER (PARTITION BY r ORDER BY j) AS island FROM marked),
+islands AS (SELECT r, island, min(j) AS a, max(j) + {span} AS b FROM numbered GROUP BY r, island),
+pieces AS (
+  SELECT r, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS before FROM islands),
+cut AS (
+  SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS rest, string_agg(hex(t[before + 1 : a]), '' ORDER BY a) AS kept
+  FROM pieces JOIN docs USING (r) GROUP BY r)
+SELECT doc_id, octet_length(t)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+  sha256(CASE WHEN n_spans IS NULL THEN t ELSE unhex(kept || hex(t[rest + 1 : octet_length(t)])) END) AS kept_sha256
+FROM docs LEFT JOIN cut USING (r)
+"""

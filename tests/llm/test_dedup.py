@@ -6,6 +6,7 @@ import pytest
 import xxhash
 
 from kvtable.llm import components, merkle, queries, simhash, suffix_dedup
+from tests.sqlcheck import assert_same
 
 # --- SimHash ------------------------------------------------------------------
 
@@ -175,7 +176,7 @@ def test_dedup_of_random_texts_in_small_runs(monkeypatch):
             (rng.randint(0, 20), "".join(rng.choice(pool)[rng.randint(0, 30) :] if rng.random() < 0.6 else fresh() for _ in range(rng.randint(0, 4))))
             for _ in range(rng.randint(0, 25))
         ]
-        n_runs, n_parts, hot_runs = rng.randint(1, 5), rng.randint(1, 4), rng.choice([1, 2, 100])
+        n_runs, n_parts, hot = rng.randint(1, 5), rng.randint(1, 4), rng.choice([1, 2, 100])
         groups: list[list] = [[] for _ in range(n_runs)]
         for n, (i, t) in enumerate(rows):
             groups[rng.randrange(n_runs)].append((i, t, n))
@@ -185,29 +186,28 @@ def test_dedup_of_random_texts_in_small_runs(monkeypatch):
             return suffix_dedup.Run([i for i, _, _ in group], [t for _, t, _ in group], span)  # noqa: B023
 
         runs = [run_of(g) for g in groups]
-        seen: dict[int, tuple[int, bool]] = {}
+        seen: dict[int, tuple[int, bool, int]] = {}
         for run in runs:
             assert not len(run.unique) or (suffix_dedup._unpack_sorted(suffix_dedup._pack_sorted(run.unique)) == run.unique).all()
-            for h, many in zip(run.unique.tolist(), run.many.tolist(), strict=True):
-                n, inside = seen.get(h, (0, False))
-                seen[h] = (n + 1, inside or many)
+            for h, mark in zip(run.unique.tolist(), run.marks().tolist(), strict=True):
+                n, inside, total = seen.get(h, (0, False, 0))
+                seen[h] = (n + 1, inside or mark > suffix_dedup.MOST, total + mark % (suffix_dedup.MOST + 1))
 
         def flags(run):
             again = [seen[h][0] > 1 or seen[h][1] for h in run.unique.tolist()]  # noqa: B023
-            return np.array(again, bool), np.array([seen[h][0] > hot_runs for h in run.unique.tolist()], bool)  # noqa: B023
+            return np.array(again, bool), np.array([seen[h][2] > hot for h in run.unique.tolist()], bool)  # noqa: B023
 
-        parts = [suffix_dedup.contexts(run, *flags(run), n_parts)[0] for run in runs]
+        entries = [suffix_dedup.Entries(run, *flags(run), n_parts) for run in runs]
         answers: list[dict] = [{} for _ in runs]
         for p in range(n_parts):
-            sent = [r for r in range(n_runs) if parts[r][p]]
-            found = suffix_dedup.resolve_part([suffix_dedup.front_coded(parts[r][p], span) for r in sent], span)
+            sent = [r for r in range(n_runs) if entries[r].cuts[p] < entries[r].cuts[p + 1]]
+            found = suffix_dedup.resolve_part([entries[r].coded(p) for r in sent], span)
             for r, a in zip(sent, found, strict=True):
                 answers[r][p] = a
         got: list = [None] * len(rows)
         for r, group in enumerate(groups):
             run = run_of(group)
-            held, places = suffix_dedup.contexts(run, *flags(run), n_parts)
-            for (_, _, n), spans in zip(group, suffix_dedup.removals(run, held, places, answers[r]), strict=True):
+            for (_, _, n), spans in zip(group, suffix_dedup.Entries(run, *flags(run), n_parts).spans(answers[r]), strict=True):
                 got[n] = spans
         assert got == brute_spans(rows, span), trial
 
@@ -233,7 +233,7 @@ def test_suffix_dedup_rows(spark, edge, edge_rows, empty, clashing):
         (str(r[0]), str(r[1]), spans, suffix_dedup.cut((r[1] or "").encode(), spans))
         for r, spans in zip(edge_rows, brute_spans([(r[0], r[1]) for r in edge_rows], 50), strict=True)
     )
-    for df, bounds in ((edge, {}), (edge, {"run_bytes": 2000, "hot_runs": 2}), (clashing, {"run_bytes": 9000})):
+    for df, bounds in ((edge, {}), (edge, {"run_bytes": 2000, "hot": 2}), (clashing, {"run_bytes": 9000})):
         rows = suffix_dedup.dedup(df, **bounds).collect()
         got = sorted((str(r["doc_id"]), str(r["text"]), [tuple(s) for s in r["removed"]], bytes(r["kept"])) for r in rows)
         assert got == want
@@ -253,6 +253,10 @@ def test_suffix_query(spark, small):
     assert sorted(tuple(r) for r in queries.op8_suffix_dedup(spark, small).collect()) == want
 
 
+def test_suffix_query_equals_its_sql(spark, small):
+    assert_same(queries.op8_suffix_dedup(spark, small), queries.oracle_sql()["op8_suffix_dedup"], small)
+
+
 def test_whole_characters():
     data = "aéb😀c".encode()
     assert suffix_dedup.whole_characters(data, [(1, 2), (2, 6)]) == [(3, 4)]
