@@ -111,4 +111,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scan": license_scan.oracle()}
+    """The others have no SQL form (tokenizers, XXH64, fitted models, BLAKE2 trees); tests hold them against brute force."""
+    return {
+        "op1_license_scan": license_scan.oracle(),
+        "op6_sharding": sharding.oracle(sharding.uniform_tree(N_SHARDS)),
+        "op8_suffix_dedup": suffix_dedup.oracle(),
+    }

@@ -141,3 +141,52 @@ def placement(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str
         "shard",
         (F.col("_start") + F.col("_nth")).cast("bigint").alias("slot"),
     )
+
+
+def _half_byte_table() -> list[int]:
+    """CRC-32 of the 16 half bytes, from its polynomial."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        table.append(n)
+    return table
+
+
+def _descent_sql(name: str, tree: Tree) -> str:
+    children = ", ".join(f"('{parent}', '{path}', {weight!r})" for parent, found in tree.children().items() for path, weight in found)
+    step = """SELECT * FROM (
+    SELECT d.r, d.k, c.path, row_number() OVER (PARTITION BY d.r ORDER BY
+      -ln((('0x' || substr(md5(d.k || '|' || c.path), 1, 13))::BIGINT + 1) / 4503599627370496.0::DOUBLE) / c.weight, c.path) AS n
+    FROM {before} d JOIN {name}_nodes c ON c.parent = {path}) WHERE n = 1"""
+    levels = [("keyed", "''"), (f"{name}_region", "d.path"), (f"{name}_rack", "d.path")]
+    parts = [f"{name}_nodes(parent, path, weight) AS (VALUES {children})"]
+    for (before, path), level in zip(levels, ("region", "rack", "shard"), strict=True):
+        parts.append(f"{name}_{level} AS ({step.format(before=before, name=name, path=path)})")
+    return ",\n".join(parts)
+
+
+def oracle(tree: Tree) -> str:
+    """Placement of ``documents`` in the tree and in the grown one, in DuckDB SQL."""
+    table = _half_byte_table()
+    half = lambda c, b: f"xor({c} >> 4, ({table}::BIGINT[])[(xor({c}, {b}) & 15) + 1])"
+    # each byte gives its low and then its high half
+    crc = f"xor(list_reduce(list_prepend(4294967295::BIGINT, halves), lambda c, b: {half('c', 'b')}), 4294967295::BIGINT)"
+    return rf"""
+WITH raw AS (
+  SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS t, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
+halved AS (
+  SELECT r, doc_id, k, octet_length(t) + 8 AS size,
+    list_transform(regexp_extract_all(regexp_replace(hex(t), '(.)(.)', '\2\1', 'g'), '.'), lambda x: ('0x' || x)::BIGINT) AS halves
+  FROM raw),
+keyed AS (SELECT r, doc_id, k, size, {crc} AS crc FROM halved),
+{_descent_sql("base", tree)},
+{_descent_sql("grown", grown(tree))},
+placed AS (
+  SELECT keyed.*, b.path, regexp_extract(b.path, '/s(\d+)$', 1)::INT AS shard, regexp_extract(g.path, '/s(\d+)$', 1)::INT AS grown_shard,
+    md5(keyed.k || '#' || keyed.crc::VARCHAR) AS h
+  FROM keyed JOIN base_shard b USING (r) JOIN grown_shard g USING (r))
+SELECT doc_id, size::BIGINT AS size, crc::BIGINT AS text_crc32, 'key' AS law, shard, grown_shard, path,
+  row_number() OVER (PARTITION BY shard ORDER BY h, doc_id, size, crc) - 1 AS slot
+FROM placed
+"""

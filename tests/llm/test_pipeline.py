@@ -4,7 +4,7 @@ import corpus_pipeline as pipeline
 from kvtable.llm import quality_classifier, queries, simhash, suffix_dedup
 from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_spans
 from tests.llm.test_license_and_quality import brute_base
-from tests.llm.test_packing import check, ids_of  # noqa: F401
+from tests.llm.test_packing import check
 
 
 def plain_pipeline(spark, sf_dir):

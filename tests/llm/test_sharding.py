@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from kvtable.llm import queries, sharding
+from tests.sqlcheck import assert_same
 
 
 def brute(tree, key):
@@ -41,6 +42,15 @@ def test_one_more_shard_takes_rows_only_into_itself(spark, small):
     assert {r["law"] for r in rows} == {"key"} and {r["shard"] for r in rows} <= set(range(24))
 
 
+def test_query_equals_its_sql(spark, small, tmp_path, edge):
+    sql = queries.oracle_sql()["op6_sharding"]
+    assert_same(queries.op6_sharding(spark, small), sql, small)
+    edge.coalesce(1).write.parquet(f"{tmp_path}/made")
+    one = next((tmp_path / "made").glob("part-*.parquet"))
+    one.rename(tmp_path / "documents.parquet")
+    assert_same(queries.op6_sharding(spark, str(tmp_path)), sql, str(tmp_path))
+
+
 def test_movement_stays_in_the_changed_subtree(spark):
     docs = spark.range(20_000).withColumnRenamed("id", "doc_id")
     tree = sharding.uniform_tree(24)
