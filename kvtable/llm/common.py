@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +30,33 @@ class PieceCache(dict):
         return value
 
 
+def slices(batches: Iterator[pa.Array], rows: int = 256) -> Iterator[pa.Array]:
+    """The batches in parts, so that a worker holds the results of a few rows only."""
+    for batch in batches:
+        for at in range(0, len(batch), rows):
+            yield batch.slice(at, rows)
+
+
+def in_slices(array: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The values of an Arrow array; only a slice of them is held as Python objects at a time."""
+    for at in range(0, len(array), rows):
+        yield from array.slice(at, rows).to_pylist()
+
+
+#: Rows in an Arrow batch to a Python worker: whole texts, so Spark's default of 10,000 would be tens of MB on both sides.
+BATCH_ROWS = 1000
+
+
+def with_text_batches(spark: SparkSession) -> SparkSession:
+    """The session with Arrow batches sized for rows that hold texts; a smaller setting of the user's stays."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, BATCH_ROWS)
+    return spark
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with_text_batches(spark)
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 

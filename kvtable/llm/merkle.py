@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvtable.llm.common import ceil_div
+from kvtable.llm.common import ceil_div, in_slices
 
 SPAN_CHARS = 16
 SECTION_MEAN = 8
@@ -128,7 +128,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     @F.arrow_udf("string")
     def roots(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            yield pa.array([tree(t).digest.hex() for t in texts.to_pylist()], pa.string())
+            yield pa.array([tree(t).digest.hex() for t in in_slices(texts)], pa.string())
 
     return docs.withColumn(out, roots(F.col(text_col)))
 
@@ -224,7 +224,7 @@ def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
         for batch in batches:
             out: list[tuple] = []
-            columns = [batch.column(c).to_pylist() for c in ("_bucket", "_guard", "doc_id", "text")]
+            columns = [in_slices(batch.column(c)) for c in ("_bucket", "_guard", "doc_id", "text")]
             for b, guard, i, text in zip(*columns, strict=True):
                 if b != at:
                     out += flush()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from kvtable.llm.common import in_slices
 from kvtable.llm.byte_bpe import codec
 from kvtable.llm.shared import written
 
@@ -31,7 +32,7 @@ def encoded_length(text: Column, ranks_path: str, pattern: str) -> Column:
     def count_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(ranks_path, pattern)
         for texts in batches:
-            yield pa.array([len(bpe.encode_packed(t or "")) // 4 for t in texts.to_pylist()], pa.int64())
+            yield pa.array([len(bpe.encode_packed(t or "")) // 4 for t in in_slices(texts)], pa.int64())
 
     return count_batches(text)
 
