@@ -31,12 +31,15 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from kvtable.llm.common import in_slices
 from kvtable.llm.components import components
 from kvtable.llm.shared import written
 
 BITS = 64
 SEED = 42
 BUCKET = 2048
+#: Most oversized buckets (two numbers each) that are broadcast; beyond it the join shuffles.
+MAX_BROADCAST_ROWS = 500_000
 #: Groups up to this size are first tested as a whole batch.
 SMALL = 64
 #: Shingles whose bits are counted at a time.
@@ -75,7 +78,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, text_col: str = "text", out:
     @F.arrow_udf("bigint")
     def hashed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for texts in batches:
-            found = np.array([simhash(t, shingle) for t in texts.to_pylist()], np.uint64)
+            found = np.array([simhash(t, shingle) for t in in_slices(texts)], np.uint64)
             yield pa.array(found.view(np.int64))
 
     return docs.withColumn(out, hashed(F.col(text_col)))
@@ -162,19 +165,16 @@ def links(fps: DataFrame, radius: int, parts: int = 1) -> DataFrame:
     table = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, parts)])
     keyed = fps.select("fp", F.posexplode(table).alias("t", "mask"))
     keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-    buckets = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b"))
-    buckets, _ = written(buckets.where("n > 1"))
-    pairs = buckets.where("n = 2").where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius).select("a", "b")
-    large = buckets.where("n > 2").select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts"))
-    own = F.pmod(F.xxhash64("fp", F.lit(1)), F.col("parts")).cast("int")
-    members = keyed.join(large, "key").select("key", "fp", "parts", own.alias("own"))
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
+    large, _ = written(counts.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")))
+    few = large.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    members = keyed.join(F.broadcast(large) if few else large, "key", "left")
+    parts_of = F.coalesce("parts", F.lit(1))
+    members = members.select("key", "fp", parts_of.alias("parts"), F.pmod(F.xxhash64("fp", F.lit(1)), parts_of).cast("int").alias("own"))
     spread = members.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    groups = spread.select(
-        "key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp"
-    )
-    sorted_groups = groups.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    found = sorted_groups.mapInArrow(lambda rows: _forest(rows, radius), "a bigint, b bigint")
-    return pairs.union(found).distinct()
+    groups = spread.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
+    dealt = groups.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+    return dealt.mapInArrow(lambda rows: _forest(rows, radius), "a bigint, b bigint").distinct()
 
 
 def clusters(rows: DataFrame, radius: int, parts: int = 1, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
