@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from kvtable.llm import packing, quality_classifier, quality_rules, simhash, suffix_dedup
 from kvtable.llm import queries as llm_queries
-from kvtable.llm.common import documents
+from kvtable.llm.common import documents, with_text_batches
 from kvtable.llm.shared import written
 
 #: Near-duplicate stage: five-word shingles; fingerprints of 64 bits that differ in at most 9.
@@ -26,6 +26,7 @@ SHINGLE, RADIUS, PARTS = 5, 9, 2
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that the quality classifier scores below its threshold."""
+    with_text_batches(spark)
     model = llm_queries.classifier(spark, docs, sf_dir)
     scored = quality_classifier.scores(docs, model, out="__score")
     return scored.where(F.col("__score") >= quality_classifier.ACCEPT).drop("__score")
@@ -33,17 +34,20 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops documents that fail the base rules or the log-likelihood threshold."""
+    with_text_batches(spark)
     judged = quality_rules.judge(docs, llm_queries.quality_model(spark, docs, sf_dir))
     return judged.where("_q.kept").drop("_q")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
+    with_text_batches(spark)
     return simhash.deduplicated(docs, SHINGLE, RADIUS, PARTS)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts passages of 50 bytes and more that an earlier document has; whole characters go, documents stay."""
+    with_text_batches(spark)
     done = suffix_dedup.dedup(docs)
 
     @F.arrow_udf("string")
@@ -66,6 +70,7 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row per piece of a document, with its sequence and place."""
+    with_text_batches(spark)
     return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
 
 

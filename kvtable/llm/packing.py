@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvtable.llm.common import PieceCache, ceil_div
+from kvtable.llm.common import PieceCache, ceil_div, slices
 
 DOCS_PER_GROUP = 8192
 #: Entries of a generation of a worker's memo, about 150 bytes each.
-CACHED_RUNS = 700_000
+CACHED_RUNS = 250_000
 
 
 word = re.compile("[A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+").fullmatch
@@ -82,6 +82,11 @@ class SpacedTokenizer:
 
         self.runs = PieceCache(ids, CACHED_RUNS)
 
+    def forget(self) -> None:
+        """Empties the memo, as an idle worker keeps its memory."""
+        self.runs.clear()
+        self.runs.old = {}
+
     def packed(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
         return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
@@ -92,6 +97,21 @@ def _tokenizer(path: str) -> SpacedTokenizer:
     return SpacedTokenizer(path)
 
 
+def _cut(tokenizer: SpacedTokenizer, texts: pa.Array, end: bytes, capacity: int, kind: pa.StructType, keep_ids: bool) -> pa.Array:
+    offsets, lengths, crcs, ids = [0], [], [], []
+    for text in texts.to_pylist():
+        packed = tokenizer.packed(text or "") + end
+        for at in range(0, len(packed), 4 * capacity):
+            part = packed[at : at + 4 * capacity]
+            lengths.append(len(part) // 4)
+            crcs.append(zlib.crc32(part))
+            if keep_ids:
+                ids.append(np.frombuffer(part, "<i4"))
+        offsets.append(len(lengths))
+    columns = [pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())] + [pa.array(ids, pa.list_(pa.int32()))] * keep_ids
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.StructArray.from_arrays(columns, fields=list(kind)))
+
+
 def pieces_of(text: Column, tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool = False) -> Column:
     """ARRAY of (length, ids_crc32[, ids]) of the text's pieces, in order."""
     kind = pa.struct([("length", pa.int64()), ("ids_crc32", pa.int64())] + [("ids", pa.list_(pa.int32()))] * keep_ids)
@@ -100,21 +120,11 @@ def pieces_of(text: Column, tokenizer_path: str, capacity: int, end_id: int, kee
     @F.arrow_udf("array<struct<length:bigint,ids_crc32:bigint" + ",ids:array<int>" * keep_ids + ">>")
     def cut(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         tokenizer = _tokenizer(tokenizer_path)
-        for texts in batches:
-            offsets, lengths, crcs, ids = [0], [], [], []
-            for text in texts.to_pylist():
-                packed = tokenizer.packed(text or "") + end
-                for at in range(0, len(packed), 4 * capacity):
-                    part = packed[at : at + 4 * capacity]
-                    lengths.append(len(part) // 4)
-                    crcs.append(zlib.crc32(part))
-                    if keep_ids:
-                        ids.append(np.frombuffer(part, "<i4"))
-                offsets.append(len(lengths))
-            columns = [pa.array(lengths, pa.int64()), pa.array(crcs, pa.int64())]
-            columns += [pa.array(ids, pa.list_(pa.int32()))] * keep_ids
-            flat = pa.StructArray.from_arrays(columns, fields=list(kind))
-            yield pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), flat)
+        try:
+            for texts in slices(batches):
+                yield _cut(tokenizer, texts, end, capacity, kind, keep_ids)
+        finally:
+            tokenizer.forget()
 
     return cut(text)
 
