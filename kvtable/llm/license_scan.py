@@ -6,7 +6,8 @@ lower-case ASCII words and becomes its set of word bigrams; it matches a
 template if ``2 * common / (unit + template)`` reaches the threshold.  As
 ``common`` is at most the smaller set, only units with a size in
 ``[t / (2 - t), (2 - t) / t]`` of a template's can match it, and only those
-are compared.
+are compared.  Nor are units, or whole texts, without any of a few words of the
+templates (:func:`telling_words`), as no match can do without them all.
 
 The plan is map-only: the templates are a literal of checked size, and a
 document is decided within its row.  NULL and empty texts have no units and
@@ -17,13 +18,17 @@ repeated rows are each reported; an empty table gives no rows.
 from __future__ import annotations
 
 import json
+import math
 import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
+#: Words from this length on are looked for as plain strings, shorter ones between word borders.
+LONG_WORD = 6
 #: Bounds on the literal that goes to every task.
 MAX_TEMPLATES, MAX_TEMPLATE_WORDS = 500, 20_000
 
@@ -87,6 +92,37 @@ def bigrams_of(text: str) -> list[str]:
     return sorted({f"{a} {b}" for a, b in zip(words, words[1:], strict=False)})
 
 
+def telling_words(templates: Sequence[tuple[str, str]], threshold: float) -> list[str]:
+    """Words such that every match of a template holds at least one of them.
+
+    A match shares at least ``t / (2 - t)`` of the template's bigrams.  So if
+    fewer than that are free of the chosen words, a match has a bigram with
+    one.  Words are chosen greedily, short (common) ones only where the rest
+    does not do.
+    """
+    open_templates = []
+    for _, text in templates:
+        found = [b.split() for b in bigrams_of(text)]
+        need = math.ceil(threshold / (2 - threshold) * len(found) - 1e-9)
+        if found:
+            open_templates.append((found, len(found) - max(1, need) + 1))  # bigrams to be hit
+    chosen: list[str] = []
+    while open_templates:
+        gain: dict[str, int] = {}
+        for found, lacking in open_templates:
+            hits: dict[str, int] = {}
+            for bigram in found:
+                for word in set(bigram):
+                    hits[word] = hits.get(word, 0) + 1
+            for word, n in hits.items():
+                gain[word] = gain.get(word, 0) + min(n, lacking) * (100 if len(word) >= LONG_WORD else 1)
+        best = max(gain, key=lambda w: (gain[w], w))
+        chosen.append(best)
+        left = [([b for b in found if best not in b], lacking - sum(best in b for b in found)) for found, lacking in open_templates]
+        open_templates = [(found, lacking) for found, lacking in left if lacking > 0]
+    return sorted(chosen)
+
+
 def _literal(templates: Sequence[tuple[str, str]]) -> tuple[Column, list[int]]:
     rows = [{"id": name, "n": len(found), "b": found} for name, text in templates if (found := bigrams_of(text))]
     if len(rows) > MAX_TEMPLATES or sum(row["n"] for row in rows) > MAX_TEMPLATE_WORDS:
@@ -111,10 +147,19 @@ def scan(
     table, sizes = _literal(templates)
     least = min(sizes, default=1) * threshold / (2 - threshold)
     most = max(sizes, default=0) * (2 - threshold) / threshold
-    text = F.col(text_col)
+    words = telling_words(templates, threshold)
+
+    def may_match(text: Column) -> Column:
+        lowered = F.lower(text)
+        tests = [F.contains(lowered, F.lit(w)) for w in words if len(w) >= LONG_WORD]
+        if short := [w for w in words if len(w) < LONG_WORD]:
+            tests.append(text.rlike(f"(?i)(?<![a-z0-9])(?:{'|'.join(short)})(?![a-z0-9])"))
+        return reduce(lambda a, b: a | b, tests, F.lit(False))
+
+    text = F.when(may_match(F.col(text_col)), F.col(text_col))
     units = F.array_distinct(F.concat(F.split(text, "\n"), F.split(text, r"\n[ \t\r]*\n")))
     kept = F.transform(
-        units,
+        F.filter(units, may_match),
         lambda u: F.struct(
             u.alias("unit"),
             F.array_remove(F.split(F.lower(F.regexp_replace(u, "[^A-Za-z0-9]+", " ")), " "), "").alias("words"),

@@ -43,6 +43,21 @@ def test_license_scan(spark, edge, edge_rows, empty, clashing):
         license_scan.scan(edge, templates=[("x", "a b")] * 501)
 
 
+def test_no_match_lacks_the_telling_words():
+    import random
+
+    rng = random.Random(4)
+    for threshold in (0.5, 0.8, 1.0):
+        for _ in range(200):
+            templates = [("x", " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 12)))) for _ in range(3)]
+            words = license_scan.telling_words(templates, threshold)
+            unit = " ".join(rng.choice("abcdefgh") * 3 for _ in range(rng.randint(0, 12)))
+            for text in (unit, templates[0][1], " ".join(templates[1][1].split()[1:])):
+                if dice_scan(text, templates, threshold):
+                    assert set(text.split()) & set(words)
+    assert len(license_scan.telling_words(license_scan.TEMPLATES, 0.8)) < 50 and license_scan.telling_words([], 0.8) == []
+
+
 def test_license_query_equals_its_sql(spark, small, corpus):
     assert_same(queries.op1_license_scan(spark, small), queries.oracle_sql()["op1_license_scan"], small)
 
