@@ -36,6 +36,7 @@ CACHED_RUNS = 250_000
 
 
 word = re.compile("[A-Za-zÀ-ÖØ-öø-\u012f\u0131-\u024f]+").fullmatch
+plain = re.compile("[\0-\u012f\u0131-\u024f]*").fullmatch
 one_word = re.compile("[a-zß-öø-ÿ]+").fullmatch
 
 
@@ -89,6 +90,8 @@ class SpacedTokenizer:
 
     def packed(self, text: str) -> bytes:
         """Little-endian 32-bit ids."""
+        if "<|" not in text and (text.isascii() or plain(text)):
+            text = text.lower()  # as the tokenizer does, but once for all runs
         return b"".join(map(self.runs.__getitem__, text.replace("\n", " ").split(" ")))
 
 
