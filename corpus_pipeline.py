@@ -15,13 +15,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtable.llm import packing, quality_classifier, quality_rules, simhash, suffix_dedup
+from kvtable.llm import near_copies, packing, quality_classifier, quality_rules, suffix_dedup
 from kvtable.llm import queries as llm_queries
 from kvtable.llm.common import documents, with_text_batches
 from kvtable.llm.shared import written
 
-#: Near-duplicate stage: five-word shingles; fingerprints of 64 bits that differ in at most 9.
-SHINGLE, RADIUS, PARTS = 5, 9, 2
+#: Near-duplicate stage: five-word shingles, and the Jaccard similarity of their sets from which two texts are near copies.
+SHINGLE, SIMILARITY = 5, 0.8
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,7 +42,7 @@ def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
     with_text_batches(spark)
-    return simhash.deduplicated(docs, SHINGLE, RADIUS, PARTS)
+    return near_copies.deduplicated(docs, SHINGLE, SIMILARITY)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

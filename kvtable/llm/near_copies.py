@@ -1,0 +1,161 @@
+"""Near copies by the Jaccard similarity of their word shingles.
+
+Texts are cut into shingles as in :mod:`kvtable.llm.simhash`; a text's set
+holds the XXH64 hashes of its distinct shingles, and texts with equal sets are
+one node.  Candidates share a key: ``BANDS`` keys of ``ROWS`` MinHash values
+each, so that a pair of similarity s is a candidate with probability
+``1 - (1 - s^ROWS)^BANDS`` (all but 1.3e-7 of the pairs at 0.8).  No candidate
+is a link before its sets are compared: links are exactly the candidate pairs
+of the given similarity.
+
+The groups take two passes.  First each node of a bucket is compared with the
+bucket's smallest node, and the links give components; then all pairs of a
+bucket that still lie in different components are compared.  Pairs inside a
+component need no test, so a group of near copies costs a star, not its square.
+
+NULL texts and texts without words have the empty set and are copies of each
+other; repeated rows and rows without an id take part.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from kvtable.llm.common import in_slices
+from kvtable.llm.components import components
+from kvtable.llm.shared import written
+from kvtable.llm.simhash import SEED, shingle_hashes
+
+BANDS, ROWS = 40, 5
+#: Shingles that are hashed at a time.
+CHUNK = 1024
+
+_factors = np.random.default_rng(11).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
+
+
+def shingle_set(text: str | None, n: int) -> np.ndarray:
+    """The hashes of the text's distinct shingles, ascending."""
+    return np.unique(np.array(shingle_hashes(text, n), "<u8"))
+
+
+def node_of(found: np.ndarray) -> int:
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED)
+
+
+def band_keys(found: np.ndarray) -> list[int]:
+    """One key per band; none for the empty set, which is a node of its own."""
+    if not len(found):
+        return []
+    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
+    for at in range(0, len(found), CHUNK):
+        np.minimum(least, (found[at : at + CHUNK, None] * _factors).min(axis=0), out=least)
+    data = least.astype("<u8").tobytes()
+    return [xxhash.xxh64_intdigest(data[8 * ROWS * b : 8 * ROWS * (b + 1)], b) for b in range(BANDS)]
+
+
+def _signed(values: list[int]) -> np.ndarray:
+    return np.array(values, np.uint64).view(np.int64)
+
+
+def keyed(docs: DataFrame, shingle: int, text_col: str = "text", out: str = "_set") -> DataFrame:
+    """All columns of ``docs`` and ``out``: STRUCT of node, n (size of the set) and keys."""
+
+    @F.arrow_udf("struct<node:bigint,n:int,keys:array<bigint>>")
+    def described(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            nodes, sizes, keys, ends = [], [], [], [0]
+            for text in in_slices(texts):
+                found = shingle_set(text, shingle)
+                nodes.append(node_of(found))
+                sizes.append(len(found))
+                keys += band_keys(found)
+                ends.append(len(keys))
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(_signed(keys)))
+            yield pa.StructArray.from_arrays(
+                [pa.array(_signed(nodes)), pa.array(sizes, pa.int32()), lists], names=["node", "n", "keys"]
+            )
+
+    return docs.withColumn(out, described(F.col(text_col)))
+
+
+def similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs ``a, b`` whose sets (``node, data``) have the Jaccard similarity."""
+
+    @F.arrow_udf("boolean")
+    def reached(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        for left, right in batches:
+            both = zip(in_slices(left), in_slices(right), strict=True)
+            yield pa.array([similar(np.frombuffer(a, "<u8"), np.frombuffer(b, "<u8"), similarity) for a, b in both], pa.bool_())
+
+    met = pairs.join(sets.select(F.col("node").alias("a"), F.col("data").alias("_a")), "a")
+    met = met.join(sets.select(F.col("node").alias("b"), F.col("data").alias("_b")), "b")
+    return met.where(reached("_a", "_b")).select("a", "b")
+
+
+def _sets(docs: DataFrame, reps: DataFrame, shingle: int) -> DataFrame:
+    """``node, data`` of the given nodes, from the text of one row of each; ``docs`` holds ``doc_id, text, _h``."""
+
+    @F.arrow_udf("binary")
+    def packed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            yield pa.array([shingle_set(t, shingle).tobytes() for t in in_slices(texts)], pa.binary())
+
+    same = docs["doc_id"].eqNullSafe(reps["_id"]) & (docs["_h"] == reps["_rep"])
+    found = docs.join(reps, same).dropDuplicates(["node"]).select("node", "text")
+    return found.select("node", packed("text").alias("data"))
+
+
+def links(keys: DataFrame, sets_of, similarity: float) -> DataFrame:
+    """``a, b``: links that connect all candidates of the similarity.
+
+    ``keys`` holds ``key, node, n``; ``sets_of`` gives ``node, data`` of a
+    frame of nodes.  Only keys that two nodes share go on.
+    """
+    ends = keys.groupBy("key").agg(F.min("node").alias("m"), F.max("node").alias("_most")).where("m <> _most")
+    shared, _ = written(keys.join(ends.select("key", "m"), "key").distinct())
+    sets, _ = written(sets_of(shared.select("node").distinct()))
+    sizes = shared.select(F.col("node").alias("m"), F.col("n").alias("n_m")).distinct()
+
+    def may_reach(n, other):  # of sets of these sizes
+        return F.least(n, other) >= F.lit(similarity) * F.greatest(n, other) - 1e-9
+
+    star = shared.where("node <> m").select("m", "node", "n").distinct().join(sizes, "m").where(may_reach(F.col("n"), F.col("n_m")))
+    first, _ = written(verified(star.select(F.col("m").alias("a"), F.col("node").alias("b")), sets, similarity))
+    named = shared.join(components(first), "node", "left").select("key", "node", "n", F.coalesce("component", "node").alias("c"))
+    mixed = named.groupBy("key").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("key")
+    open_rows, _ = written(named.join(mixed, "key"))
+    other = open_rows.select("key", *[F.col(c).alias(f"{c}_2") for c in ("node", "n", "c")])
+    rest = open_rows.join(other, "key").where((F.col("node") < F.col("node_2")) & (F.col("c") != F.col("c_2")) & may_reach(F.col("n"), F.col("n_2")))
+    rest = rest.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+    tested = star.select(F.col("m").alias("a"), F.col("node").alias("b"))
+    return first.union(verified(rest.join(tested, ["a", "b"], "left_anti"), sets, similarity))
+
+
+def deduplicated(docs: DataFrame, shingle: int, similarity: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component: that of the smallest id (NULL last), then of the smallest text hash."""
+    row_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_hash.alias("_h"))
+    meta, _ = written(keyed(texts, shingle).select("doc_id", "_h", "_set.*"))
+    order = F.struct(F.col("doc_id").isNull().alias("_none"), F.col("doc_id"), F.col("_h"))
+    reps = meta.groupBy("node").agg(F.min(order).alias("_k")).select("node", F.col("_k.doc_id").alias("_id"), F.col("_k._h").alias("_rep"))
+    reps, _ = written(reps)
+    keys = meta.select(F.explode("keys").alias("key"), "node", "n")
+    found = components(links(keys, lambda nodes: _sets(texts, reps.join(nodes, "node"), shingle), similarity))
+    placed = reps.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = F.struct(F.col("_id").isNull().alias("_none"), F.col("_id"), F.col("_rep"))
+    stays = placed.groupBy("component").agg(F.min(least).alias("_k")).select(F.col("_k._id").alias("_id"), F.col("_k._rep").alias("_stays"))
+    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    rows = docs.select(given.alias("_in"), F.col(id_col).alias("_own"), row_hash.alias("_row_hash"))
+    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_stays")), "left_semi")
+    return kept.dropDuplicates(["_own", "_row_hash"]).select("_in.*")

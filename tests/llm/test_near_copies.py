@@ -1,0 +1,91 @@
+import itertools
+import random
+import re
+
+import numpy as np
+import pytest
+
+import corpus_pipeline as pipeline
+from kvtable.llm import near_copies
+
+
+def brute_shingles(text, n=5):
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    return {tuple(words[i : i + n]) for i in range(len(words) - n + 1)} if len(words) >= n else {tuple(words)} - {()}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def brute_groups(texts, similarity=0.8):
+    """The component of each text, over all pairs."""
+    sets, label = [brute_shingles(t) for t in texts], list(range(len(texts)))
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        if jaccard(sets[i], sets[j]) >= similarity:
+            a, b = label[j], label[i]
+            label = [b if x == a else x for x in label]
+    return label
+
+
+def edited(seed):
+    """Families of texts with single words replaced, so that the similarities lie around 0.8."""
+    rng = random.Random(seed)
+    out = []
+    for _ in range(12):
+        words = [f"w{rng.randrange(500)}" for _ in range(rng.choice((40, 150, 400)))]
+        for _ in range(rng.randint(1, 7)):
+            now = list(words)
+            for _ in range(round(len(now) * rng.uniform(0, 0.035))):
+                now[rng.randrange(len(now))] = f"x{rng.randrange(10**6)}"
+            out.append(" ".join(now))
+            if rng.random() < 0.3:
+                words = now
+    rng.shuffle(out)
+    return out
+
+
+def kept_ids(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    return sorted(r["doc_id"] for r in pipeline.drop_near_copies(spark, docs, "").collect())
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_the_stage_keeps_one_of_each_group_of_similarity_0_8(spark, seed):
+    texts = edited(seed)
+    label = brute_groups(texts)
+    assert 12 < len(set(label)) < len(texts) - 5
+    assert kept_ids(spark, texts) == sorted({g: label.index(g) for g in label}.values())
+
+
+def test_pairs_of_the_tables_far_apart_in_fingerprint_bits_are_found(spark):
+    """Pairs of similarity 0.8 and more whose fingerprints differ in 10 to 14 bits."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pairs = [(7743, 9710), (4, 2540), (8421, 9728), (5108, 5918), (3650, 7230)]
+    few = docs.where(docs.doc_id.isin([i for p in pairs for i in p]))
+    texts = {r["doc_id"]: r["text"] for r in few.collect()}
+    assert all(jaccard(brute_shingles(texts[a]), brute_shingles(texts[b])) >= 0.8 for a, b in pairs)
+    kept = {r["doc_id"] for r in pipeline.drop_near_copies(spark, few, "").collect()}
+    assert kept == {a for a, _ in pairs}
+
+
+def test_edge_rows(spark, edge, edge_rows, empty, clashing):
+    label = brute_groups([r[1] for r in edge_rows])
+    for df in (edge, clashing):
+        kept = near_copies.deduplicated(df, 5, 0.8).collect()
+        assert len(kept) == len(set(label)) and set(kept[0].asDict()) == set(df.columns)
+        ids = [[edge_rows[j][0] for j in range(len(label)) if label[j] == g] for g in set(label)]
+        want = [min((i for i in x if i is not None), default=None) for x in ids]
+        assert sorted(map(str, (r["doc_id"] for r in kept))) == sorted(map(str, want))
+    assert near_copies.deduplicated(empty, 5, 0.8).count() == 0
+
+
+def test_keys_agree_as_often_as_the_sets_overlap():
+    rng = np.random.default_rng(5)
+    missed, agreed = 0, 0
+    for _ in range(300):
+        pool = np.unique(rng.integers(0, 1 << 63, 100, np.uint64))
+        a, b = pool[:90], pool[10:]  # similarity 0.8
+        hits = sum(x == y for x, y in zip(near_copies.band_keys(a), near_copies.band_keys(b), strict=True))
+        missed, agreed = missed + (hits == 0), agreed + hits
+    assert missed == 0 and abs(agreed / 300 / near_copies.BANDS - 0.8**near_copies.ROWS) < 0.03
