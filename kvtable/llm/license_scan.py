@@ -81,6 +81,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("MIT", "Released under the MIT License."),
     ("MIT", _MIT),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("Proprietary", "All rights reserved."),
     ("Proprietary", "All rights reserved. No part may be reproduced without permission."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]

@@ -43,6 +43,15 @@ def test_license_scan(spark, edge, edge_rows, empty, clashing):
         license_scan.scan(edge, templates=[("x", "a b")] * 501)
 
 
+def test_each_licence_line_of_the_tables_is_found(spark):
+    lines = {"Released under the MIT License.": "MIT", "Licensed under the Apache License, Version 2.0.": "Apache-2.0",
+             "All rights reserved.": "Proprietary", "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+             "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0"}
+    docs = spark.createDataFrame([(i, f"some prose\n{x}\nmore") for i, x in enumerate(lines)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["licenses"] for r in license_scan.summary(license_scan.scan(docs)).collect()}
+    assert all(want in found[i].split(",") for i, want in enumerate(lines.values()))
+
+
 def test_no_match_lacks_the_telling_words():
     import random
 
