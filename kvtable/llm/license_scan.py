@@ -143,8 +143,13 @@ def scan(
     threshold: float = THRESHOLD,
     id_col: str = "doc_id",
     text_col: str = "text",
+    embedded: bool = False,
 ) -> DataFrame:
-    """``doc_id, matches``: ARRAY of (unit, license, dice), one per matching unit and template."""
+    """``doc_id, matches``: ARRAY of (unit, license, dice), one per matching unit and template.
+
+    With ``embedded``, licences that no unit matches are also looked for in runs of words across lines and within
+    them; such a match has the words of the run as its unit.
+    """
     table, sizes = _literal(templates)
     least = min(sizes, default=1) * threshold / (2 - threshold)
     most = max(sizes, default=0) * (2 - threshold) / threshold
@@ -194,11 +199,68 @@ def scan(
         )
         return F.filter(dice, lambda d: d["dice"] >= F.lit(threshold))
 
-    found = docs.select(F.col(id_col).alias("doc_id"), sets.alias("_sets"), table.alias("_table"))
+    found = docs.select(F.col(id_col).alias("doc_id"), sets.alias("_sets"), table.alias("_table"), text.alias("_text"))
     matches = F.flatten(F.transform(F.coalesce(F.col("_sets"), F.array()), against))
+    if embedded:
+        more = lambda m: F.concat(m, _embedded(F.col("_text"), templates, m["license"], threshold))
+        matches = F.when(F.col("_text").isNull(), matches).otherwise(F.flatten(_let(matches, more)))
     return found.select("doc_id", matches.alias("matches"))
 
 
+def _let(value: Column, then) -> Column:
+    """``then`` of the value, which is computed once: an array of one."""
+    return F.transform(F.array(value), then)
+
+
+def _embedded(text: Column, templates: Sequence[tuple[str, str]], found: Column, threshold: float) -> Column:
+    """The best run of words of the text for each template whose licence is not in ``found``, if it reaches the threshold.
+
+    Line ends do not count.  A run that matches holds ``t / (2 - t)`` of a template's bigrams, and the best one begins and
+    ends with one of them; runs go up to ``(2 - t) / t`` of the template's length.
+    """
+    rows = []
+    for name, template in templates:
+        if own := bigrams_of(template):
+            length = len(re.sub("[^A-Za-z0-9]+", " ", template).split()) - 1
+            need = max(1, math.ceil(threshold / (2 - threshold) * len(own) - 1e-9))
+            most = math.floor(length * (2 - threshold) / threshold + 1e-9)
+            rows.append({"id": name, "n": len(own), "need": need, "most": most, "b": own})
+    table = F.from_json(F.lit(json.dumps(rows)), "array<struct<id:string,n:int,need:int,most:int,b:array<string>>>")
+    words = F.array_remove(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " ")), " "), "")
+
+    def with_bigrams(w: Column) -> Column:
+        firsts = F.slice(w, 1, F.greatest(F.size(w) - 1, F.lit(0)))
+        return F.struct(w.alias("w"), F.transform(firsts, lambda x, i: F.concat(x, F.lit(" "), F.get(w, i + 1))).alias("b"))
+
+    def runs(d: Column, t: Column, hits: Column) -> Column:
+        def ending(k: Column) -> Column:
+            start = F.get(hits, k)
+            ends = F.filter(F.slice(hits, k + t["need"], t["most"]), lambda e: e - start < t["most"])
+            return F.transform(ends, lambda e: F.struct(start.alias("s"), (e - start + 1).alias("k")))
+
+        def scored(run: Column) -> Column:
+            own = F.slice(d["b"], run["s"] + 1, run["k"])
+            dice = 2.0 * F.size(F.array_intersect(own, t["b"])) / (F.size(F.array_distinct(own)) + t["n"])
+            return F.struct(dice.alias("dice"), run["s"].alias("s"), run["k"].alias("k"))
+
+        spans = F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - 1), ending))
+        return F.array_max(F.transform(spans, scored))
+
+    def best(d: Column) -> Column:
+        def of(t: Column) -> Column:
+            hits = F.filter(F.sequence(F.lit(0), F.size(d["b"]) - 1), lambda i: F.array_contains(t["b"], F.get(d["b"], i)))
+            named = lambda r: F.struct(
+                F.array_join(F.slice(d["w"], r["s"] + 1, r["k"] + 1), " ").alias("unit"), t["id"].alias("license"), r["dice"].alias("dice")
+            )
+            run = F.flatten(_let(hits, lambda h: _let(runs(d, t, h), named)))
+            return F.filter(run, lambda r: r["dice"] >= F.lit(threshold))
+
+        open_ones = F.filter(table, lambda t: ~F.array_contains(found, t["id"]) & (F.size(F.array_intersect(d["b"], t["b"])) >= t["need"]))
+        return F.flatten(F.transform(open_ones, of))
+
+    return F.flatten(F.flatten(_let(words, lambda w: _let(with_bigrams(w), best))))
+
+
 def summary(scanned: DataFrame) -> DataFrame:
     """``doc_id, n_matches, licenses, best_dice``: licences sorted and joined by commas, 0.0 without a match."""
     return scanned.select(

@@ -20,7 +20,7 @@ def _ranks() -> str:
 
 
 def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan.summary(license_scan.scan(documents(spark, sf_dir)))
+    return license_scan.summary(license_scan.scan(documents(spark, sf_dir), embedded=True))
 
 
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,29 @@ def test_each_licence_line_of_the_tables_is_found(spark):
     assert all(want in found[i].split(",") for i, want in enumerate(lines.values()))
 
 
+def test_notices_in_paragraphs_and_within_lines_are_found(spark):
+    notices = {n: t for n, t in license_scan.TEMPLATES if len(t) > 200}
+
+    def laid_out(text, *openings):  # a blank line before each of these words
+        flat = " ".join(text.split())
+        for words in openings:
+            assert words in flat
+            flat = flat.replace(words, "\n\n" + words)
+        return "Copyright 2020 Somebody\n\n" + flat + "\n\nThe end of it."
+
+    texts = {
+        "MIT": laid_out(notices["MIT"], "The above copyright", "THE SOFTWARE IS"),
+        "BSD-2-Clause": laid_out(notices["BSD-2-Clause"], "Redistributions of", "Redistributions in"),
+        "GPL-3.0": laid_out(notices["GPL-3.0"], "This program is distributed"),
+        "Apache-2.0": "Some words of prose here. Licensed under the Apache License, Version 2.0. And more words follow.",
+        "": "The rights of all were reserved. Permission was granted to use the software under a license.",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts.values())) + [(9, None), (10, "license")], "doc_id bigint, text string")
+    found = {r["doc_id"]: r for r in license_scan.summary(license_scan.scan(docs, embedded=True)).collect()}
+    assert [found[i]["licenses"] for i in range(len(texts))] == list(texts) and found[9]["n_matches"] == found[10]["n_matches"] == 0
+    assert found[3]["best_dice"] == 1.0 and found[0]["best_dice"] == 1.0
+
+
 def test_no_match_lacks_the_telling_words():
     import random
 
