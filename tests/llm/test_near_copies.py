@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 import corpus_pipeline as pipeline
-from kvtable.llm import near_copies
+from kvtable.llm import near_copies, simhash
 
 
 def brute_shingles(text, n=5):
@@ -89,3 +89,25 @@ def test_keys_agree_as_often_as_the_sets_overlap():
         hits = sum(x == y for x, y in zip(near_copies.band_keys(a), near_copies.band_keys(b), strict=True))
         missed, agreed = missed + (hits == 0), agreed + hits
     assert missed == 0 and abs(agreed / 300 / near_copies.BANDS - 0.8**near_copies.ROWS) < 0.03
+
+
+def test_texts_below_the_similarity_stay_however_near_their_fingerprints_are(spark):
+    """Pairs whose fingerprints differ in at most 9 bits, with similarities of 0.49 and 0.57."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    pairs = [(110, 9989), (1880, 2141), (6973, 9542)]
+    ids = [i for p in pairs for i in p]
+    few = docs.where(docs.doc_id.isin(ids))
+    texts = {r["doc_id"]: r["text"] for r in few.collect()}
+    for a, b in pairs:
+        assert jaccard(brute_shingles(texts[a]), brute_shingles(texts[b])) < 0.6
+        assert (simhash.simhash(texts[a], 5) ^ simhash.simhash(texts[b], 5)).bit_count() <= 9
+    assert sorted(r["doc_id"] for r in pipeline.drop_near_copies(spark, few, "").collect()) == sorted(ids)
+
+
+def test_the_pipeline_equals_plain_stages_that_link_by_similarity(spark, small, monkeypatch):
+    """The plain stages of test_pipeline, with groups over all pairs of shingle sets instead of fingerprints."""
+    from tests.llm import test_pipeline
+
+    monkeypatch.setattr(test_pipeline, "brute_fingerprint", lambda text, n: text)
+    monkeypatch.setattr(test_pipeline, "brute_components", lambda texts, radius: brute_groups(texts))
+    test_pipeline.test_run_equals_the_stages_in_plain_python(spark, small)
