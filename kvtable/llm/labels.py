@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Most rows of two numbers that are broadcast; beyond it the join shuffles.
-MAX_BROADCAST_ROWS = 1_000_000
+MAX_BROADCAST_ROWS = 200_000
 
 
 def held_out(id_col: str = "doc_id", folds: int = 4, fold: int = 2) -> Column:
@@ -25,7 +25,7 @@ def training_labels(labels: DataFrame, label: str = "quality", id_col: str = "do
     return rows.groupBy(F.col(id_col).alias("doc_id")).agg(F.max(label).cast("int").alias("label"))
 
 
-def with_labels(docs: DataFrame, labels: DataFrame) -> DataFrame:
+def with_labels(docs: DataFrame, labels: DataFrame, how: str = "inner") -> DataFrame:
     """``docs`` joined with ``labels`` on doc_id; texts stay in place while the labels are few (counted)."""
     few = labels.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    return docs.join(F.broadcast(labels) if few else labels, "doc_id")
+    return docs.join(F.broadcast(labels) if few else labels, "doc_id", how)

@@ -10,8 +10,8 @@ and Platt's sigmoid, fitted on training rows that the descent did not see,
 turns margins into scores from 0 to 1.
 
 Counting is distributed; the descent runs on the driver over at most
-``max_per_class`` rows of each class (the bound of the sample, taken by hash
-order).  The model is a few arrays of ``N_FEATURES`` numbers.  Scoring is
+``max_per_class`` rows and ``max_bytes`` of n-gram numbers of each class (the
+bounds of the sample, taken by hash order).  The model is a few arrays of ``N_FEATURES`` numbers.  Scoring is
 map-only and reads nothing but the text.
 
 NULL texts count as empty; texts without n-grams score by the bias alone.
@@ -21,7 +21,7 @@ only labels 0, else 1 (nothing is known against any text).
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -31,9 +31,12 @@ from pyspark.sql import functions as F
 
 from kvtable.llm.common import in_slices
 from kvtable.llm.labels import held_out, with_labels
+from kvtable.llm.shared import removed, written
 
 N_FEATURES = 1 << 16
 MAX_PER_CLASS = 3000
+#: Bytes of n-gram numbers (two each) that the driver takes of each class: all of the rows above, unless many texts are very long.
+MAX_BYTES = 96 << 20
 RAW_GRAM, SHAPE_GRAMS = 4, (2, 5)
 MAX_EQUAL_RUN = 5
 ACCEPT = 0.7
@@ -130,8 +133,24 @@ def _log_count_ratios(labelled: DataFrame, text_col: str) -> np.ndarray:
     return np.log(total[1] / total[1].sum()) - np.log(total[0] / total[0].sum())
 
 
+class Vectors(Sequence):
+    """The rows' scaled vectors with the bias feature, made from the 16-bit numbers when asked for."""
+
+    def __init__(self, numbers: list[bytes], ratios: np.ndarray, bias_value: float):
+        self.numbers, self.ratios, self.bias_value = numbers, ratios, bias_value
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        at = np.frombuffer(self.numbers[i], "<u2").astype(np.int64)
+        values = self.ratios[at]
+        length = np.sqrt(values @ values)
+        return np.append(at, N_FEATURES), np.append(values / length if length else values, self.bias_value)
+
+
 def dual_coordinate_descent(
-    rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, costs: np.ndarray, n: int, epochs: int = 30, tol: float = 0.01
+    rows: Sequence[tuple[np.ndarray, np.ndarray]], y: np.ndarray, costs: np.ndarray, n: int, epochs: int = 30, tol: float = 0.01
 ) -> np.ndarray:
     """Weights of an L2-regularised hinge-loss model; rows are (feature numbers, values)."""
     w, alpha = np.zeros(n), np.zeros(len(rows))
@@ -183,6 +202,7 @@ def fit(
     labels: DataFrame,
     text_col: str = "text",
     max_per_class: int = MAX_PER_CLASS,
+    max_bytes: int = MAX_BYTES,
     cost: float = 1.0,
     bias_value: float = 0.3,
 ) -> Model:
@@ -194,10 +214,19 @@ def fit(
     ratios = _log_count_ratios(with_labels(docs.select("doc_id", text_col), labels), text_col)
     parts = [labels.where(F.col("label") == c).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class) for c in (0, 1)]
     sample = parts[0].union(parts[1])
-    numbers = with_labels(docs.select("doc_id", text_col), sample).select(
-        "doc_id", "label", _numbers(F.col(text_col)).alias("f"), held_out(folds=3, fold=1).alias("late")
+    numbers, path = written(
+        with_labels(docs.select("doc_id", text_col), sample).select(
+            "doc_id", "label", _numbers(F.col(text_col)).alias("f"), held_out(folds=3, fold=1).alias("late"), F.xxhash64("doc_id").alias("h")
+        )
     )
-    rows = sorted(numbers.collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
+    taken = F.lit(False)  # up to this place in the hash order of a class the bytes are within the bound
+    for c in (0, 1):
+        sizes = sorted(tuple(r) for r in numbers.where(F.col("label") == c).select("h", F.octet_length("f")).collect())
+        upto = np.cumsum([n for _, n in sizes]) <= max_bytes
+        if upto.any():
+            taken = taken | ((F.col("label") == c) & (F.col("h") <= sizes[int(upto.sum()) - 1][0]))
+    rows = sorted(numbers.where(taken).select("doc_id", "label", "f", "late").collect(), key=lambda r: (r["doc_id"], bytes(r["f"])))
+    removed(docs.sparkSession, path)
     y = np.array([1.0 if r["label"] else -1.0 for r in rows])
     late = np.array([r["late"] for r in rows], bool)
     if len(set(y[late])) < 2 or len(set(y[~late])) < 2:
@@ -208,17 +237,10 @@ def fit(
     if len(set(y)) < 2:
         return Model(flat, flat, 0.0, 0.0, 0.0, constant=0.0 if counts.get(0) and (len(y) == 0 or y[0] < 0) else 1.0)
 
-    def vector(r) -> tuple[np.ndarray, np.ndarray]:
-        at = np.frombuffer(r["f"], "<u2").astype(np.int64)
-        values = ratios[at]
-        length = np.sqrt(values @ values)
-        values = values / length if length else values
-        return np.append(at, N_FEATURES), np.append(values, bias_value)
-
-    vectors = [vector(r) for r in rows]
     share = np.where(y > 0, 2 * (y > 0).mean(), 2 * (y < 0).mean())
     descended = np.flatnonzero(early)
-    w = dual_coordinate_descent([vectors[i] for i in descended], y[early], (cost / share)[early], N_FEATURES + 1)
+    vectors = Vectors([rows[i]["f"] for i in descended], ratios, bias_value)
+    w = dual_coordinate_descent(vectors, y[early], (cost / share)[early], N_FEATURES + 1)
     model = Model(w[:-1] * ratios, ratios, float(w[-1] * bias_value), 1.0, 0.0)
     margins = np.array([model.margin(np.frombuffer(rows[i]["f"], "<u2")) for i in np.flatnonzero(late)])
     slope, offset = platt(margins, y[late])

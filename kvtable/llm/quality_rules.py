@@ -105,27 +105,22 @@ def grams(hashes: Column, n_buckets: int = N_BUCKETS) -> Column:
     return F.concat(F.transform(hashes, bucket), pairs)
 
 
-def _counts(docs: DataFrame, text_col: str, n_buckets: int, as_name: str) -> DataFrame:
-    hashes = docs.select(F.transform(words_of(text_of(text_col)), lambda w: F.xxhash64(w)).alias("_wh"))
-    buckets = hashes.select(F.explode(grams(F.col("_wh"), n_buckets)).alias("bucket"))
-    return buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias(as_name))
-
-
 def fit(
     raw: DataFrame,
-    target: DataFrame,
+    is_target: Column,
     text_col: str = "text",
     n_buckets: int = N_BUCKETS,
     smoothing: float = SMOOTHING,
 ) -> DataFrame:
-    """One row, ``weights ARRAY<DOUBLE>``: log p_target - log p_raw of each bucket."""
-    spark = raw.sparkSession
-    every = spark.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
-    both = (
-        every.join(_counts(raw, text_col, n_buckets, "r"), "bucket", "left")
-        .join(_counts(target, text_col, n_buckets, "t"), "bucket", "left")
-        .select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
-    )
+    """One row, ``weights ARRAY<DOUBLE>``: log p_target - log p_raw of each bucket.
+
+    The raw corpus is all rows, the target those for which ``is_target`` holds (NULL: not); both are counted in one pass.
+    """
+    hashes = raw.select(F.transform(words_of(text_of(text_col)), lambda w: F.xxhash64(w)).alias("_wh"), is_target.alias("_t"))
+    buckets = hashes.select(F.explode(grams(F.col("_wh"), n_buckets)).alias("bucket"), "_t")
+    counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("r"), F.count_if(F.col("_t")).alias("t"))
+    every = raw.sparkSession.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
+    both = every.join(counts, "bucket", "left").select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
     model = both.agg(
         F.sum("r").alias("nr"), F.sum("t").alias("nt"), F.sort_array(F.collect_list(F.struct("bucket", "r", "t"))).alias("c")
     )

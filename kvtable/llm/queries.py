@@ -23,16 +23,16 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.summary(license_scan.scan(documents(spark, sf_dir), embedded=True))
 
 
-def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Trusted target: documents of the training fold with quality 1.  Raw corpus: all documents."""
+def quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw corpus: all documents.  Trusted target: those of the training fold with quality 1."""
     labels = training_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")).where("label = 1")
-    target = with_labels(docs.select("doc_id", "text"), labels)
-    return quality_rules.fit(docs, target)
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return quality_rules.fit(with_labels(docs, labels, how="left"), F.col("label").isNotNull())
 
 
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "text")
-    return quality_rules.judge(docs, quality_model(spark, docs, sf_dir)).select("doc_id", "_q.*")
+    return quality_rules.judge(docs, quality_model(spark, sf_dir)).select("doc_id", "_q.*")
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

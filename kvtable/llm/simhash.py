@@ -23,7 +23,7 @@ id take part, and a component's id is its smallest non-NULL one.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +33,15 @@ from pyspark.sql import functions as F
 
 from kvtable.llm.common import in_slices
 from kvtable.llm.components import components
-from kvtable.llm.shared import written
+from kvtable.llm.shared import removed, written
 
 BITS = 64
 SEED = 42
 BUCKET = 2048
 #: Most oversized buckets (two numbers each) that are broadcast; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 500_000
-#: Groups up to this size are first tested as a whole batch.
-SMALL = 64
+#: Groups up to this size are first tested together, so many rows at a time.
+SMALL, SEARCHED = 64, 10_000
 #: Shingles whose bits are counted at a time.
 CHUNK = 1 << 16
 
@@ -136,28 +136,74 @@ def _linked(fp: np.ndarray, sizes: np.ndarray, radius: int) -> np.ndarray:
     return np.flatnonzero(flags)
 
 
-def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.RecordBatch]:
-    """Links of a spanning forest of each group; rows ``key, p, q, fp`` come sorted by group."""
+def _forests(groups: Iterator[pa.Table], radius: int) -> Iterator[pa.RecordBatch]:
+    """Links of a spanning forest of each group."""
 
-    def search(fp: np.ndarray, cuts: np.ndarray) -> pa.RecordBatch:
-        pairs = [x for g in _linked(fp, np.diff(cuts), radius) for x in _spanning(fp[cuts[g] : cuts[g + 1]], radius)]
+    def search(fp: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        cuts = np.concatenate([[0], np.cumsum(sizes)])
+        pairs = [x for g in _linked(fp, sizes, radius) for x in _spanning(fp[cuts[g] : cuts[g + 1]], radius)]
         ends = [np.concatenate(x).view(np.int64) for x in zip(*pairs, strict=True)] or [np.zeros(0, np.int64)] * 2
         return pa.RecordBatch.from_arrays([pa.array(x) for x in ends], names=["a", "b"])
 
-    held: list[np.ndarray] = []  # the columns of the last group so far
+    held: list[np.ndarray] = []
+    n_held = 0
+    for group in groups:
+        held.append(group.column("fp").to_numpy().view(np.uint64))
+        n_held += len(held[-1])
+        if n_held >= SEARCHED:
+            yield search(np.concatenate(held), np.array(list(map(len, held))))
+            held, n_held = [], 0
+    if held:
+        yield search(np.concatenate(held), np.array(list(map(len, held))))
+
+
+def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """The rows of one ``key, p, q`` each, from rows sorted by them; most groups of a single row are left out."""
+    held: list[pa.RecordBatch] = []  # of the last group so far
+    last = None
     for rows in batches:
         if not rows.num_rows:
             continue
-        columns = [rows.column(c).to_numpy() for c in ("key", "p", "q", "fp")]
-        if held:
-            columns = [np.concatenate(x) for x in zip(held, columns, strict=True)]
-        key, p, q, fp = columns
+        key, p, q = (rows.column(c).to_numpy() for c in ("key", "p", "q"))
         new = (np.diff(key) != 0) | (np.diff(p) != 0) | (np.diff(q) != 0)
-        cuts = np.concatenate([[0], np.flatnonzero(new) + 1])
-        held = [c[cuts[-1] :] for c in columns]
-        yield search(fp[: cuts[-1]].view(np.uint64), cuts)
+        cuts = np.concatenate([[0], np.flatnonzero(new) + 1, [rows.num_rows]])
+        wanted = np.diff(cuts) > 1
+        wanted[[0, -1]] = True  # these may go on in another batch
+        for a, b in zip(cuts[:-1][wanted].tolist(), cuts[1:][wanted].tolist(), strict=True):
+            if held and last != (key[a], p[a], q[a]):
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(rows.slice(a, b - a))
+            last = (key[a], p[a], q[a])
     if held:
-        yield search(held[3].view(np.uint64), np.array([0, len(held[3])]))
+        yield pa.Table.from_batches(held)
+
+
+def dealt_groups(keyed: DataFrame, search: Callable, result: str) -> DataFrame:
+    """``search`` over the rows of each ``key``; keys with one row only are left out.
+
+    Rows of a key beyond ``BUCKET`` rows are cut into parts, and each pair of
+    parts is a group of its own, so that no task holds them all.
+    """
+    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
+    large, path = written(counts.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("_parts")))
+    n_large = large.limit(MAX_BROADCAST_ROWS + 1).count()
+    rest = [c for c in keyed.columns if c != "key"]
+    if n_large:
+        members = keyed.join(F.broadcast(large) if n_large <= MAX_BROADCAST_ROWS else large, "key", "left")
+        parts = F.coalesce("_parts", F.lit(1))
+        members = members.select("key", *rest, parts.alias("_parts"), F.pmod(F.xxhash64(*rest), parts).cast("int").alias("own"))
+        spread = members.select("key", *rest, "own", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)).alias("other"))
+        groups = spread.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), *rest)
+    else:
+        removed(keyed.sparkSession, path)
+        groups = keyed.select("key", F.lit(0).alias("p"), F.lit(0).alias("q"), *rest)
+    dealt = groups.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
+
+    def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return search(group for group in _whole_groups(batches) if group.num_rows > 1)
+
+    return dealt.mapInArrow(over, result)
 
 
 def links(fps: DataFrame, radius: int, parts: int = 1) -> DataFrame:
@@ -165,16 +211,7 @@ def links(fps: DataFrame, radius: int, parts: int = 1) -> DataFrame:
     table = F.array(*[F.lit(_signed(m)) for m in covering_masks(radius, parts)])
     keyed = fps.select("fp", F.posexplode(table).alias("t", "mask"))
     keyed = keyed.select(F.xxhash64("t", F.col("fp").bitwiseAND(F.col("mask"))).alias("key"), "fp")
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
-    large, _ = written(counts.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("parts")))
-    few = large.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
-    members = keyed.join(F.broadcast(large) if few else large, "key", "left")
-    parts_of = F.coalesce("parts", F.lit(1))
-    members = members.select("key", "fp", parts_of.alias("parts"), F.pmod(F.xxhash64("fp", F.lit(1)), parts_of).cast("int").alias("own"))
-    spread = members.select("key", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
-    groups = spread.select("key", F.least("own", "other").alias("p"), F.greatest("own", "other").alias("q"), "fp")
-    dealt = groups.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return dealt.mapInArrow(lambda rows: _forest(rows, radius), "a bigint, b bigint").distinct()
+    return dealt_groups(keyed, lambda groups: _forests(groups, radius), "a bigint, b bigint").distinct()
 
 
 def clusters(rows: DataFrame, radius: int, parts: int = 1, id_col: str = "doc_id", fp_col: str = "fp") -> DataFrame:
@@ -204,24 +241,3 @@ def near_duplicates(docs: DataFrame, shingle: int, radius: int, id_col: str = "d
     rows, _ = written(rows.select("doc_id", "fp"))
     found = clusters(rows, radius).select("fp", "component_id")
     return rows.join(found, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
-
-
-def deduplicated(
-    docs: DataFrame, shingle: int, radius: int, parts: int = 1, id_col: str = "doc_id", text_col: str = "text"
-) -> DataFrame:
-    """``docs`` with one row of each component: that of the smallest id (NULL last), then of the smallest text hash.
-
-    Texts are shuffled once, to meet the ids that stay.
-    """
-    row_hash = F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(text_col).isNull())
-    keys = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), row_hash.alias("_h"))
-    meta, _ = written(fingerprints(keys, shingle).select("doc_id", "_h", "fp"))
-    named = meta.join(clusters(meta, radius, parts).select("fp", "component"), "fp")
-    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col("_h"))
-    stays = named.groupBy("component").agg(F.min(order).alias("_k")).select(
-        F.col("_k.doc_id").alias("_id"), F.col("_k._h").alias("_stays")
-    )
-    given = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
-    rows = docs.select(given.alias("_in"), F.col(id_col).alias("_own"), row_hash.alias("_row_hash"))
-    kept = rows.join(stays, F.col("_own").eqNullSafe(F.col("_id")) & (F.col("_row_hash") == F.col("_stays")), "left_semi")
-    return kept.dropDuplicates(["_own", "_row_hash"]).select("_in.*")

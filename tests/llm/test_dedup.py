@@ -84,13 +84,12 @@ def test_groups_that_span_batches():
     table = pa.table({"key": keys, "p": np.zeros(400, np.int32), "q": np.zeros(400, np.int32), "fp": fps})
 
     def joined(size):
-        label = list(range(400))
-        place = {}
-        for batch in simhash._forest(iter(table.to_batches(max_chunksize=size)), 3):
-            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
-                place.setdefault(a, []).append(b)
-        assert label
-        return sorted((a, b) for a, found in place.items() for b in found)
+        groups = simhash._whole_groups(iter(table.to_batches(max_chunksize=size)))
+        return sorted(
+            (a, b)
+            for batch in simhash._forests(groups, 3)
+            for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True)
+        )
 
     whole = joined(400)
     assert whole and joined(7) == whole == joined(1)
@@ -109,20 +108,6 @@ def test_simhash_rows(spark, edge, edge_rows, empty, clashing):
     assert simhash.near_duplicates(empty, 3, 2).count() == 0
 
 
-def test_one_row_of_each_group_stays(spark, edge, edge_rows, empty, clashing):
-    fps = [brute_fingerprint(r[1], 5) for r in edge_rows]
-    label = brute_components(fps, 9)
-    n = len(set(label))
-    for df in (edge, clashing):
-        kept = simhash.deduplicated(df, 5, 9, 2).collect()
-        assert len(kept) == n and set(kept[0].asDict()) == set(df.columns)
-        for g in set(label):
-            ids = [edge_rows[j][0] for j in range(len(fps)) if label[j] == g]
-            least = min((i for i in ids if i is not None), default=None)
-            assert sum(r["doc_id"] == least and (least is not None or brute_fingerprint(r["text"], 5) in [fps[j] for j in range(len(fps)) if label[j] == g]) for r in kept) == 1
-    assert simhash.deduplicated(empty, 5, 9, 2).count() == 0
-
-
 def test_simhash_query(spark, small):
     rows = queries.op7_simhash(spark, small).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{small}/documents.parquet").collect()}

@@ -1,8 +1,11 @@
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from kvtable.llm import license_scan, quality_classifier, quality_rules, queries
@@ -94,6 +97,16 @@ def test_license_query_equals_its_sql(spark, small, corpus):
     assert_same(queries.op1_license_scan(spark, small), queries.oracle_sql()["op1_license_scan"], small)
 
 
+def brute_grams(text, n_buckets):
+    """Buckets of the word uni- and bigrams: XXH64 of a word with seed 42, of a pair the second's hash with the first's as seed."""
+    words = re.findall("[^\x20\x09-\x0d]+", text or "")
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in words]
+    raw = [h.to_bytes(8, "little") for h in hashes]
+    pairs = [xxhash.xxh64_intdigest(b, xxhash.xxh64_intdigest(a, 42)) for a, b in zip(raw, raw[1:], strict=False)]
+    return [signed(h) % n_buckets for h in hashes + pairs]
+
+
 def brute_base(text):
     text = text or ""
     words = re.findall("[^\x20\x09-\x0d]+", text)
@@ -114,12 +127,10 @@ def test_quality_rules_statistics_and_model(spark, edge, empty, clashing, labell
     docs, labels = labelled
     target = docs.join(labels.where("quality = 1").select("doc_id"), "doc_id").select("text")
     buckets, smoothing = 512, 2.0
-    model = quality_rules.fit(docs, target, n_buckets=buckets, smoothing=smoothing)
+    flagged = docs.join(labels.where("quality = 1").select("doc_id", F.lit(True).alias("good")), "doc_id", "left")
+    model = quality_rules.fit(flagged, F.col("good"), n_buckets=buckets, smoothing=smoothing)
     weights = model.first()[0]
-    # the n-grams' buckets are taken from the plan; counts, smoothing, sums and means are done again in Python
-    grams = lambda df: [r["g"] for r in df.select(
-        quality_rules.grams(F.transform(quality_rules.words_of(F.coalesce("text", F.lit(""))), lambda w: F.xxhash64(w)), buckets).alias("g")
-    ).collect()]
+    grams = lambda df: [brute_grams(r["text"], buckets) for r in df.select("text").collect()]
     raw, good = Counter(g for x in grams(docs) for g in x), Counter(g for x in grams(target) for g in x)
     scale = sum(good.values()) / sum(raw.values())
     want = [math.log((good[b] + smoothing) / (raw[b] * scale + smoothing)) for b in range(buckets)]
@@ -136,14 +147,14 @@ def test_quality_rules_statistics_and_model(spark, edge, empty, clashing, labell
             assert q["kept"] == (not q["base_failed"] and q["score"] >= quality_rules.MIN_SCORE)
             assert len(g) == max(0, 2 * q["n_words"] - 1)
     assert quality_rules.judge(empty, model).count() == 0
-    flat = quality_rules.fit(docs, target.limit(0), n_buckets=16).first()[0]
-    assert flat == [0.0] * 16
-    assert quality_rules.fit(empty, empty, n_buckets=16).first()[0] == [0.0] * 16
+    no = F.lit(None).cast("boolean")
+    assert quality_rules.fit(docs, no, n_buckets=16).first()[0] == [0.0] * 16
+    assert quality_rules.fit(empty, no, n_buckets=16).first()[0] == [0.0] * 16
 
 
 def test_rules_tell_the_kinds_apart_and_allow_filters(spark, labelled):
     docs, labels = labelled
-    model = queries.quality_rules.fit(docs, docs.join(labels.where("quality = 1"), "doc_id"))
+    model = quality_rules.fit(docs.join(labels, "doc_id"), F.col("quality") == 1)
     kept = quality_rules.judge(docs, model).where("_q.kept").select("doc_id").collect()
     assert {r["doc_id"] % 2 for r in kept} == {0}
 
@@ -239,3 +250,86 @@ def test_missing_classes_and_awkward_rows(spark, edge, empty, clashing, labelled
     assert all((s >= 0.7) == (i % 2 == 0) for i, s in scored.items())
     nowhere = train.select((F.col("doc_id") + 10**6).alias("doc_id"), "label")
     assert quality_classifier.fit(docs, nowhere).constant is not None
+
+
+def brute_features(text):
+    mask, found = (1 << 64) - 1, set()
+
+    def add(data, n, salt):
+        for at in range(len(data) - n + 1):
+            h = salt
+            for byte in data[at : at + n]:
+                h = (h ^ byte) * 0x9E3779B97F4A7C15 & mask
+                h ^= h >> 29
+            found.add(h % quality_classifier.N_FEATURES)
+
+    data = (text or "").encode()
+    shape = bytes(ord("a") if b >= 128 or 97 <= b <= 122 else ord("A") if 65 <= b <= 90 else ord("0") if 48 <= b <= 57 else b for b in data)
+    add(data, 4, 1)
+    add(shape, 2, 102)
+    add(shape, 5, 105)
+    words, run = (text or "").split(), 1
+    for a, b in zip(words, words[1:], strict=False):
+        run = run + 1 if a == b else 1
+        if 1 < run <= 5:
+            add(bytes([run]), 1, 200)
+    return sorted(found)
+
+
+def brute_scores(docs, labels, texts):
+    """The whole model in plain Python: ratios, descent, sigmoid; then the score of each text."""
+    size, bias = quality_classifier.N_FEATURES, 0.3
+    rows = sorted((i, brute_features(t), labels[i]) for i, t in docs if i in labels)
+    counts = {c: Counter(f for _, found, label in rows if label == c for f in found) for c in (0, 1)}
+    total = {c: sum(counts[c].values()) + size for c in (0, 1)}
+    ratio = {f: math.log((counts[1][f] + 1) / total[1]) - math.log((counts[0][f] + 1) / total[0]) for f in range(size)}
+
+    def vector(found):
+        length = math.sqrt(sum(ratio[f] ** 2 for f in found)) or 1.0
+        return {f: ratio[f] / length for f in found} | {"bias": bias}
+
+    late = [zlib.crc32(str(i).encode()) % 3 == 1 for i, _, _ in rows]
+    early = [(vector(found), 1 if label else -1) for (_, found, label), is_late in zip(rows, late, strict=True) if not is_late]
+    n_good, n = sum(label for _, _, label in rows), len(rows)
+    cost = {1: n / (2 * n_good), -1: n / (2 * (n - n_good))}
+    w, alpha = defaultdict(float), [0.0] * len(early)
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        worst = 0.0
+        for i in rng.permutation(len(early)):
+            x, y = early[i]
+            g = y * sum(w[f] * v for f, v in x.items()) - 1
+            worst = max(worst, abs(min(g, 0) if alpha[i] <= 0 else max(g, 0) if alpha[i] >= cost[y] else g))
+            new = min(max(alpha[i] - g / sum(v * v for v in x.values()), 0.0), cost[y])
+            for f, v in x.items():
+                w[f] += (new - alpha[i]) * y * v
+            alpha[i] = new
+        if worst < 0.01:
+            break
+    margin = lambda found: sum(w[f] * v for f, v in vector(found).items())
+    held = [(margin(found), label) for (_, found, label), is_late in zip(rows, late, strict=True) if is_late]
+    n1 = sum(label for _, label in held)
+    goal = {1: (n1 + 1) / (n1 + 2), 0: 1 / (len(held) - n1 + 2)}
+    a, b = 1.0, 0.0
+    for _ in range(200):  # Newton steps, damped: the loss is convex
+        p = [1 / (1 + math.exp(-(a * m + b))) for m, _ in held]
+        ga = sum((q - goal[label]) * m for q, (m, label) in zip(p, held, strict=True)) + 2e-3 * a
+        gb = sum(q - goal[label] for q, (_, label) in zip(p, held, strict=True))
+        haa = sum(q * (1 - q) * m * m for q, (m, _) in zip(p, held, strict=True)) + 2e-3
+        hab = sum(q * (1 - q) * m for q, (m, _) in zip(p, held, strict=True))
+        hbb = sum(q * (1 - q) for q in p) + 1e-9
+        det = haa * hbb - hab * hab
+        a, b = a - 0.5 * (hbb * ga - hab * gb) / det, b - 0.5 * (haa * gb - hab * ga) / det
+    return [1 / (1 + math.exp(-(a * margin(brute_features(t)) + b))) for t in texts]
+
+
+def test_scores_equal_a_model_in_plain_python(spark, labelled):
+    docs, labels = labelled
+    train = training_labels(labels)
+    texts = [r["text"] for r in docs.collect()][:60] + [None, "", "Straße 12 a a a"]
+    want = brute_scores([(r["doc_id"], r["text"]) for r in docs.collect()], {r["doc_id"]: r["label"] for r in train.collect()}, texts)
+    model = quality_classifier.fit(docs, train)
+    got = [model.score(quality_classifier.features(t)) for t in texts]
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-6
+    few = quality_classifier.fit(docs, train, max_bytes=20_000)  # some rows only, yet a model
+    assert few.constant is None and abs(few.score(quality_classifier.features(texts[0])) - got[0]) < 0.5

@@ -2,9 +2,10 @@ import public_tokenizers as P
 
 import corpus_pipeline as pipeline
 from kvtable.llm import quality_classifier, queries, simhash, suffix_dedup
-from tests.llm.test_dedup import brute_components, brute_fingerprint, brute_spans
+from tests.llm.test_dedup import brute_spans
 from tests.llm.test_license_and_quality import brute_base
 from tests.llm.test_packing import check
+from tests.llm.test_simhash_dedup import brute_groups
 
 
 def plain_pipeline(spark, sf_dir):
@@ -14,10 +15,9 @@ def plain_pipeline(spark, sf_dir):
     model = queries.classifier(spark, frame, sf_dir)
     docs = [d for d in docs if model.score(quality_classifier.features(d[1])) >= 0.7]
     kept = spark.createDataFrame(docs, "doc_id bigint, text string") if docs else frame.limit(0).select("doc_id", "text")
-    judged = pipeline.quality_rules.judge(kept, queries.quality_model(spark, kept, sf_dir)).collect()
+    judged = pipeline.quality_rules.judge(kept, queries.quality_model(spark, sf_dir)).collect()
     docs = [(r["doc_id"], r["text"]) for r in judged if not brute_base(r["text"])[5] and r["_q"]["score"] >= pipeline.quality_rules.MIN_SCORE]
-    fps = [brute_fingerprint(t, 5) for _, t in docs]
-    label = brute_components(fps, 9)
+    label = brute_groups([t for _, t in docs])
     first = {}
     for (i, t), g in zip(docs, label, strict=True):
         first[g] = min(first.get(g, (i, t)), (i, t))
