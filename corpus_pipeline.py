@@ -15,10 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kvtable.llm import near_copies, packing, quality_classifier, quality_rules, suffix_dedup
+from kvtable.llm import packing, quality_classifier, quality_rules, simhash_dedup, suffix_dedup
 from kvtable.llm import queries as llm_queries
 from kvtable.llm.common import documents, with_text_batches
-from kvtable.llm.shared import written
+from kvtable.llm.shared import removed, scratch, written
 
 #: Near-duplicate stage: five-word shingles, and the Jaccard similarity of their sets from which two texts are near copies.
 SHINGLE, SIMILARITY = 5, 0.8
@@ -33,16 +33,16 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rules or the log-likelihood threshold."""
+    """Drops documents that fail the base rules or the log-likelihood threshold; the raw corpus is the whole of ``documents``."""
     with_text_batches(spark)
-    judged = quality_rules.judge(docs, llm_queries.quality_model(spark, docs, sf_dir))
+    judged = quality_rules.judge(docs, llm_queries.quality_model(spark, sf_dir))
     return judged.where("_q.kept").drop("_q")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps one document of each group of near copies."""
     with_text_batches(spark)
-    return near_copies.deduplicated(docs, SHINGLE, SIMILARITY)
+    return simhash_dedup.deduplicated(docs, SHINGLE, SIMILARITY)
 
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,9 +69,9 @@ def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row per piece of a document, with its sequence and place."""
+    """One row per piece of a document: its token ids, its sequence and place."""
     with_text_batches(spark)
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), keep_ids=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
@@ -87,12 +87,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            docs, _ = written(docs)
-    return docs
+    """All stages over ``documents``; what a stage wrote on its way, and its input, go as soon as its result is stored."""
+    docs, path = documents(spark, sf_dir), None
+    for _, stage in STAGES[:-1]:
+        with scratch(spark):
+            found = stage(spark, docs, sf_dir)
+            stored, stored_path = written(found, keep=True)
+        if path:
+            removed(spark, path)
+        docs, path = stored, stored_path
+    return STAGES[-1][1](spark, docs, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
