@@ -15,17 +15,22 @@ that windows of the anchor reach back to (its context).
    hash: whether another document has it.  This drops nearly all clean text.
 2. A run sorts the suffixes at its remaining anchors, keeps equal contexts
    once with their least document id, and sends them front-coded (length of
-   the prefix shared with the one before, and the rest).
-3. Each hash range merges its runs with a loser tree that keeps, for every
-   loser, the length of the prefix it shares with the winner.  A longer known
-   prefix wins unseen; only on equal lengths are the parts beyond compared.
-   Neighbours that share a gram form a group, in which every window gets its
-   least document id.  Anchors with more than ``hot`` different contexts are
-   sent window by window instead, by the window's hash, so that no group
-   outgrows a task.
+   the prefix shared with the one before, and the rest) by key range.  The
+   ranges are cut at splitters, strings sampled evenly over the corpus' bytes.
+3. Each key range merges its sorted runs with a loser tree that keeps, for
+   every loser, the length of the prefix it shares with the winner.  A longer
+   known prefix wins unseen; only on equal lengths are the parts beyond
+   compared.  The merge so yields the common prefix of neighbours, and these
+   decide: a window that begins ``p`` bytes before the anchor occurs in two
+   contexts if all neighbours between them share ``span - p`` bytes or more
+   and the ``p`` bytes before are equal.  Each window gets its least id.
+   Anchors with more than ``hot`` different contexts are sent window by
+   window instead, by the window's bytes, so that no group outgrows a task.
 4. The answers go back to the runs, which mark and cut.
 
 Texts are shuffled once: the three steps that need them share the exchange.
+Steps 1 to 3 send a message per run and range that have something in common:
+at most ``runs * ranges``, and never more than one per anchor.
 
 NULL texts count as empty and come back NULL with nothing removed.  Rows that
 repeat an id are the same document to each other.  Rows without an id count
@@ -53,6 +58,10 @@ SPAN = 50
 GRAM = 24
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 RUN_BYTES = 4 << 20
+#: Text per hash range of step 1 and per key range of step 3; the latter hold Python objects.
+HASHED_BYTES, MERGED_BYTES = 12 << 20, 4 << 20
+#: Strings that are sampled for the splitters; they go to the driver.
+SAMPLES = 50_000
 #: Different contexts, counted per run, from which an anchor's windows go separately.
 HOT = 20_000
 #: Window starts whose anchors are looked for at a time; the low bits of a key hold a place in it.
@@ -155,6 +164,21 @@ class Run:
         """A hash of each window."""
         return self._mixed(at, at, at)
 
+    def same_bytes(self, order: np.ndarray, first: np.ndarray, last: np.ndarray, anchor: np.ndarray) -> np.ndarray:
+        """Whether contexts that follow each other in the order are equal byte by byte, with the anchor at the same place."""
+        a, b = order[:-1], order[1:]
+        equal = (anchor[a] - first[a] == anchor[b] - first[b]) & (last[a] - first[a] == last[b] - first[b])
+        a, b, open_ones = first[a[equal]], first[b[equal]], np.flatnonzero(equal)
+        size = (last - first)[order[:-1][equal]] + self.span
+        if len(a):
+            words = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
+            bad = np.zeros(len(a), bool)
+            for at in range(0, int(size.max()), 8):
+                place = np.minimum(at, size - 8)  # the last word may overlap the one before
+                bad |= words[a + place] != words[b + place]
+            equal[open_ones[bad]] = False
+        return equal
+
     def marks(self) -> np.ndarray:
         """Of each unique hash the number of its contexts, up to MOST, plus MOST + 1 if two documents have it."""
         if not len(self.hash):
@@ -195,13 +219,9 @@ def _unpack_sorted(blob: bytes) -> np.ndarray:
 
 
 class Entries:
-    """A run's different contexts, in the order of their hashes, and the places where they occur.
-
-    Equal hashes (of the anchor and of the context, 128 bits) within a run
-    count as equal bytes; between runs the bytes themselves are compared.
-    """
+    """A run's different contexts, by key range and then in the order of their hashes, and the places where they occur."""
 
-    def __init__(self, run: Run, again: np.ndarray, hot: np.ndarray, n_parts: int):
+    def __init__(self, run: Run, again: np.ndarray, hot: np.ndarray, splitters: list[bytes]):
         """``again`` and ``hot`` are flags of the run's unique hashes."""
         self.run = run
         index = np.searchsorted(run.unique, run.hash)
@@ -217,12 +237,27 @@ class Entries:
         self.at, self.row = first[order], row[order]
         key, shape = key[order], shape[order]
         new = np.concatenate([[True], (np.diff(key) != 0) | (np.diff(shape) != 0)])[: len(key)]
-        self.starts = np.flatnonzero(new)
-        self.entry = np.cumsum(new) - 1  # of each place
-        one = order[self.starts]
+        new[1:] |= ~run.same_bytes(order, first, last, anchor)
+        found = np.flatnonzero(new)
+        one = order[found]
+        part = self._ranges(anchor[one], one >= len(plain), splitters)
+        by_part = np.argsort(part, kind="stable")
+        rank = np.empty(len(one), np.int64)
+        rank[by_part] = np.arange(len(one))
+        self.entry = rank[np.cumsum(new) - 1]  # of each place
+        one = one[by_part]
         self.first, self.last, self.anchor = first[one], last[one], anchor[one]
-        self.least = np.minimum.reduceat(run.ids[self.row], self.starts) if len(key) else np.zeros(0, np.int64)
-        self.cuts = np.searchsorted(parts_of(key[self.starts], n_parts), np.arange(n_parts + 1)).tolist()
+        self.least = (np.minimum.reduceat(run.ids[self.row], found) if len(key) else np.zeros(0, np.int64))[by_part]
+        self.cuts = np.searchsorted(part[by_part], np.arange(len(splitters) + 2)).tolist()
+
+    def _ranges(self, anchor: np.ndarray, whole: np.ndarray, splitters: list[bytes]) -> np.ndarray:
+        """The key range by the gram at the anchor, so that contexts of a gram meet; of single windows by all of their bytes."""
+        out = np.zeros(len(anchor), np.int64)
+        for rows, width in ((~whole, GRAM), (whole, self.run.span)):
+            if rows.any() and splitters:
+                strings = np.ndarray((len(self.run.bytes) - width + 1,), f"S{width}", self.run.bytes, strides=(1,))[anchor[rows]]
+                out[rows] = np.searchsorted(np.array([x[:width] for x in splitters], f"S{width}"), strings, side="right")
+        return out
 
     def coded(self, part: int) -> bytes:
         """The contexts of one part, sorted by the suffix at the anchor and front-coded.
@@ -280,17 +315,17 @@ class Entries:
         return out
 
 
-def _key(suffix: bytes, span: int) -> int:
-    return int.from_bytes(suffix.ljust(span, b"\0"), "big")
-
-
 def _shared(a: int, b: int, span: int) -> int:
     """Length of the common prefix of two keys."""
     return span - (((a ^ b).bit_length() + 7) >> 3)
 
 
 def _coded(blob: bytes, span: int) -> tuple[list[int], bytes, list[tuple[bytes, bytes]], list[int], np.ndarray]:
-    """Keys, shared prefix lengths, contexts, least ids, and the places in the order of hashes."""
+    """Keys, prefixes they share, contexts, least ids, and the places in the order of hashes.
+
+    The prefixes are those of the keys, which are filled up with zero bytes:
+    longer than the coded ones where a shorter suffix ends within.
+    """
     raw = zstandard.decompress(blob)
     n, n_left = np.frombuffer(raw, "<i8", 2).tolist()
     at = 16
@@ -300,15 +335,17 @@ def _coded(blob: bytes, span: int) -> tuple[list[int], bytes, list[tuple[bytes,
     places = np.frombuffer(raw, "<u4", n, at + 8 * n)
     left_at = at + 12 * n
     rest_at = left_at + n_left
-    keys, entries, suffix = [], [], b""
+    keys, known, entries, suffix = [], bytearray(), [], b""
     for same, size, n_before in zip(shared, sizes, before, strict=True):
         end = rest_at + size - same
+        cut_short = same == len(suffix) or same == size
         suffix = suffix[:same] + raw[rest_at:end]
         rest_at = end
         entries.append((suffix, raw[left_at : left_at + n_before]))
         left_at += n_before
         keys.append(int.from_bytes(suffix.ljust(span, b"\0"), "big"))
-    return keys, shared, entries, ids, places
+        known.append(_shared(keys[-2], keys[-1], span) if cut_short and len(keys) > 1 else same)
+    return keys, bytes(known), entries, ids, places
 
 
 def merged(runs: list[tuple[list[int], bytes]], span: int) -> Iterator[tuple[int, int, int]]:
@@ -366,49 +403,64 @@ def merged(runs: list[tuple[list[int], bytes]], span: int) -> Iterator[tuple[int
         winner = play(winner)
 
 
-def _least_ids(group: list[tuple[tuple[bytes, bytes], int]], span: int) -> dict:
-    """Of each context of a group: (number of windows, least id) along its windows."""
+def _least_ids(group: list[tuple[tuple[bytes, bytes], int, int]], span: int) -> dict:
+    """Of each context of a group: (number of windows, least id) along its windows.
+
+    The group holds contexts in merged order, each with its least id and the
+    prefix that it shares with the one before.  A prefix of q bytes keeps its
+    class as long as neighbours share q bytes, so windows are equal if the
+    class of their bytes from the anchor on and their bytes before it are.
+    """
     least: dict = {}
-    for context, doc in group:
+    for context, doc, _ in group:
         if least.get(context, NO_ID) >= doc:
             least[context] = doc
     if len(least) == 1:
         ((context, doc),) = least.items()
         return {context: ((len(context[0]) + len(context[1]) - span + 1, doc),)}
-    windows: dict[bytes, int] = {}
-    for (suffix, left), doc in least.items():
-        whole = left + suffix
-        for j in range(len(whole) - span + 1):
-            w = whole[j : j + span]
+    classes = list(range(span + 1))  # of the prefix of each length; no number stands for two
+    used = span + 1
+    windows: dict[tuple[int, bytes], int] = {}
+    of: dict = {}
+    for context, _, shared in group:
+        if shared < span:
+            fresh = span - shared
+            classes[shared + 1 :] = range(used, used + fresh)
+            used += fresh
+        if context in of:
+            continue
+        (suffix, left), doc = context, least[context]
+        n = len(left)
+        found = of[context] = [(classes[span - n + j], left[j:]) for j in range(n + len(suffix) - span + 1)]
+        for w in found:
             if windows.get(w, NO_ID) >= doc:
                 windows[w] = doc
     out = {}
-    for suffix, left in least:
-        whole = left + suffix
-        docs = [windows[whole[j : j + span]] for j in range(len(whole) - span + 1)]
+    for context, found in of.items():
+        docs = [windows[w] for w in found]
         if docs.count(docs[0]) == len(docs):
-            out[suffix, left] = ((len(docs), docs[0]),)
+            out[context] = ((len(docs), docs[0]),)
         else:
-            out[suffix, left] = tuple((len(list(same)), doc) for doc, same in groupby(docs))
+            out[context] = tuple((len(list(same)), doc) for doc, same in groupby(docs))
     return out
 
 
 def resolve_part(blobs: list[bytes], span: int) -> list[bytes]:
-    """Step 3 for one hash range: for each run's contexts, in the order of hashes, the least ids along their windows."""
+    """Step 3 for one key range: for each run's contexts, in the order of hashes, the least ids along their windows."""
     runs = [_coded(blob, span) for blob in blobs]
     answers: list[list] = [[None] * len(run[0]) for run in runs]
-    group: list[tuple[int, int]] = []
+    group: list[tuple[int, int, int]] = []
 
     def close() -> None:
-        found = _least_ids([(runs[r][2][i], runs[r][3][i]) for r, i in group], span)
-        for r, i in group:
+        found = _least_ids([(runs[r][2][i], runs[r][3][i], shared) for r, i, shared in group], span)
+        for r, i, _ in group:
             answers[r][i] = found[runs[r][2][i]]
 
     for r, i, shared in merged([run[:2] for run in runs], span):
         if group and shared < GRAM:
             close()
             group = []
-        group.append((r, i))
+        group.append((r, i, shared))
     if group:
         close()
     out = []
@@ -454,6 +506,22 @@ def cut(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 # --- the plan ----------------------------------------------------------------
 
 
+def _splitters(texts: DataFrame, total: int, n_ranges: int, span: int) -> list[bytes]:
+    """Strings that cut the corpus' strings of ``span`` bytes into ranges of about equal number, ascending.
+
+    Taken from about ``SAMPLES`` strings, one every ``total / SAMPLES`` bytes.  They steer the work, not the result.
+    """
+    if n_ranges < 2:
+        return []
+    gap = max(1, total // SAMPLES)
+    data, size = F.encode("text", "UTF-8"), F.octet_length("text")
+    offset = F.pmod(F.xxhash64("text"), F.lit(gap))
+    places = F.when(size - span >= offset, F.sequence(offset, (size - span).cast("bigint"), F.lit(gap).cast("bigint")))
+    strings = F.transform(places, lambda at: F.substr(data, (at + 1).cast("int"), F.lit(span)))
+    found = sorted(bytes(r[0]) for r in texts.select(F.explode(strings)).collect())
+    return sorted({found[i * len(found) // n_ranges] for i in range(1, n_ranges)}) if found else []
+
+
 def dedup(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -470,8 +538,13 @@ def dedup(
         raise ValueError(f"span must be from {GRAM + 1} to 255 bytes")
     fields = [f for f in docs.schema.fields if f.name not in ("removed", "kept")]
     total = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
-    n_runs = n_parts = max(1, ceil_div(total, run_bytes))
-    number = F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.crc32(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8"))), F.lit(n_runs))
+    n_runs, n_parts = max(1, ceil_div(total, run_bytes)), max(1, ceil_div(total, HASHED_BYTES))
+    n_ranges = max(1, ceil_div(total, min(MERGED_BYTES, run_bytes)))
+    splitters = _splitters(docs.select(F.col(text_col).alias("text")), total, n_ranges, span)
+    n_ranges = len(splitters) + 1
+    # rows equal in id and text are told apart by their place, so that many of them are no single run
+    place = F.monotonically_increasing_id()
+    number = F.pmod(F.xxhash64(F.col(id_col).cast("bigint"), F.crc32(F.encode(F.coalesce(text_col, F.lit("")), "UTF-8")), place), F.lit(n_runs))
     rows = docs.select(
         number.cast("bigint").alias("_run"),
         F.col(id_col).cast("bigint").alias("_id"),
@@ -519,14 +592,14 @@ def dedup(
             a, b = cuts[part], cuts[part + 1]
             again[a:b] = np.unpackbits(np.frombuffer(data, np.uint8), count=b - a)
             is_hot[a:b] = np.unpackbits(np.frombuffer(more, np.uint8), count=b - a)
-        return Entries(run, again, is_hot, n_parts)
+        return Entries(run, again, is_hot, splitters)
 
     def suffixes(table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([], MESSAGE)
         number = table.column("_run")[0].as_py()
         found = candidates(table, flags)
-        return _table([(p, number, found.coded(p), None) for p in range(n_parts) if found.cuts[p] < found.cuts[p + 1]], MESSAGE)
+        return _table([(p, number, found.coded(p), None) for p in range(n_ranges) if found.cuts[p] < found.cuts[p + 1]], MESSAGE)
 
     def resolved(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()

@@ -153,15 +153,15 @@ def brute_spans(rows, span):
 def test_dedup_of_random_texts_in_small_runs(monkeypatch):
     monkeypatch.setattr(suffix_dedup, "BLOCK_BITS", 9)
     rng = random.Random(5)
-    for trial in range(60):
-        span, alphabet = rng.choice([25, 30, 50]), "ab" if trial % 3 else "abcdefghij\0é"
+    for trial in range(90):
+        span, alphabet = rng.choice([25, 30, 50]), ("abcdefghij\0é", "ab", "\0a")[trial % 3]
         pool = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 140))) for _ in range(6)]
         fresh = lambda: "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 60)))  # noqa: B023, E731
         rows = [
             (rng.randint(0, 20), "".join(rng.choice(pool)[rng.randint(0, 30) :] if rng.random() < 0.6 else fresh() for _ in range(rng.randint(0, 4))))
             for _ in range(rng.randint(0, 25))
         ]
-        n_runs, n_parts, hot = rng.randint(1, 5), rng.randint(1, 4), rng.choice([1, 2, 100])
+        n_runs, hot = rng.randint(1, 5), rng.choice([1, 2, 100])
         groups: list[list] = [[] for _ in range(n_runs)]
         for n, (i, t) in enumerate(rows):
             groups[rng.randrange(n_runs)].append((i, t, n))
@@ -182,7 +182,11 @@ def test_dedup_of_random_texts_in_small_runs(monkeypatch):
             again = [seen[h][0] > 1 or seen[h][1] for h in run.unique.tolist()]  # noqa: B023
             return np.array(again, bool), np.array([seen[h][2] > hot for h in run.unique.tolist()], bool)  # noqa: B023
 
-        entries = [suffix_dedup.Entries(run, *flags(run), n_parts) for run in runs]
+        texts = [t.encode() for _, t in rows if t and len(t.encode()) >= span]
+        cuts = [rng.choice(texts) for _ in range(rng.randint(0, 6) if texts else 0)]
+        splitters = sorted({t[(at := rng.randrange(len(t) - span + 1)) : at + span] for t in cuts})
+        n_parts = len(splitters) + 1
+        entries = [suffix_dedup.Entries(run, *flags(run), splitters) for run in runs]
         answers: list[dict] = [{} for _ in runs]
         for p in range(n_parts):
             sent = [r for r in range(n_runs) if entries[r].cuts[p] < entries[r].cuts[p + 1]]
@@ -192,7 +196,7 @@ def test_dedup_of_random_texts_in_small_runs(monkeypatch):
         got: list = [None] * len(rows)
         for r, group in enumerate(groups):
             run = run_of(group)
-            for (_, _, n), spans in zip(group, suffix_dedup.Entries(run, *flags(run), n_parts).spans(answers[r]), strict=True):
+            for (_, _, n), spans in zip(group, suffix_dedup.Entries(run, *flags(run), splitters).spans(answers[r]), strict=True):
                 got[n] = spans
         assert got == brute_spans(rows, span), trial
 
@@ -203,7 +207,7 @@ def test_loser_tree_merges_and_knows_the_prefixes():
         runs = [sorted(bytes(rng.choice(b"ab") for _ in range(6)) for _ in range(rng.randint(0, 9))) for _ in range(rng.randint(1, 7))]
         coded = []
         for run in runs:
-            keys = [suffix_dedup._key(x, 6) for x in run]
+            keys = [int.from_bytes(x, "big") for x in run]
             coded.append((keys, [0] * bool(keys) + [suffix_dedup._shared(a, b, 6) for a, b in zip(keys, keys[1:], strict=False)]))
         out = list(suffix_dedup.merged(coded, 6))
         values = [runs[r][i] for r, i, _ in out]
