@@ -7,32 +7,36 @@ text, at a paragraph whose digest falls into one of ``SECTION_MEAN`` classes,
 so an edit moves section borders only near itself.  A node's digest covers
 its children's digests; the root is the fingerprint.
 
-Equal roots mean equal texts.  Two trees are compared from the top: equal
-sections are paired off whole, then equal paragraphs of the sections that
-differ, then equal spans; what is left is where the texts were edited, and
-``2 * shared / (both lengths)`` is their likeness (two empty texts: 1).
+Equal roots mean equal texts.  Two trees are compared from the top, in order:
+equal sections are aligned whole; where sections differ, their paragraphs are
+aligned between the same neighbours, then spans.  What is left is where the
+texts were edited, and ``2 * shared / (both lengths)`` is their likeness (two
+empty texts: 1).  Nodes that only changed places count as edited on one side
+of the move.
 
 NULL texts count as empty; an empty text has a tree without sections.
 """
 
 from __future__ import annotations
 
-import bisect
 import hashlib
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvtable.llm.common import ceil_div, in_slices
+from kvtable.llm.common import in_slices
+from kvtable.llm.shared import written
 
 SPAN_CHARS = 16
 SECTION_MEAN = 8
-ROWS_PER_BUCKET, MAX_BUCKETS = 512, 100_000
+
+_spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
 #: Columns of the edit report, their Spark and their Arrow types.
 REPORT = [
@@ -43,6 +47,7 @@ REPORT = [
     ("edited_fingerprint", "string", pa.string()),
     ("near_edited", "double", pa.float64()),
     ("near_next", "double", pa.float64()),
+    ("edited_at", "array<struct<start:bigint,end:bigint>>", _spans_type),
 ]
 
 _paragraphs = re.compile(r"[^\n]*\n|[^\n]+").findall
@@ -82,38 +87,95 @@ def tree(text: str | None) -> Node:
     return _inner(b"document", sections)
 
 
-def _pair_off(ours: list[Node], theirs: list[Node]) -> tuple[int, list[Node], list[Node]]:
-    """Characters in nodes with a partner of equal digest, and the nodes on either side without one."""
-    free = Counter(n.digest for n in theirs)
-    shared, left = 0, []
-    taken: Counter[bytes] = Counter()
-    for node in ours:
-        if free[node.digest] > taken[node.digest]:
-            taken[node.digest] += 1
-            shared += node.size
-        else:
-            left.append(node)
-    rest = []
-    for node in theirs:
-        if taken[node.digest]:
-            taken[node.digest] -= 1
-        else:
-            rest.append(node)
-    return shared, left, rest
-
-
-def compare(a: Node, b: Node) -> tuple[float, list[Node], list[Node]]:
-    """Likeness from 0 to 1, and the spans of either side that the other lacks."""
+#: A node and its place: the code points before it.
+Placed = tuple[Node, int]
+
+
+def _children(nodes: list[Placed]) -> list[Placed]:
+    out = []
+    for node, at in nodes:
+        for child in node.children or []:
+            out.append((child, at))
+            at += child.size
+    return out
+
+
+def _heaviest_chain(pairs: list[tuple[int, int]], sizes: list[int]) -> list[tuple[int, int]]:
+    """Of pairs ascending in the first place, those ascending in both whose sizes add up to the most (ties: the earliest)."""
+    places = {j: k for k, j in enumerate(sorted(j for _, j in pairs), 1)}
+    best: list[tuple[int, int]] = [(0, 1)] * (len(pairs) + 1)  # prefix maxima in a binary indexed tree: (size, -pair)
+    before, weights = [], []
+    for n, ((_, j), size) in enumerate(zip(pairs, sizes, strict=True)):
+        top, k = (0, 1), places[j] - 1
+        while k:
+            top = max(top, best[k])
+            k &= k - 1
+        weight = top[0] + size
+        before.append(-top[1])
+        weights.append(weight)
+        k = places[j]
+        while k <= len(pairs):
+            best[k] = max(best[k], (weight, -n))
+            k += k & -k
+    chain, n = [], max(range(len(pairs)), key=lambda n: (weights[n], -n), default=-1)
+    while n >= 0:
+        chain.append(pairs[n])
+        n = before[n]
+    return chain[::-1]
+
+
+def _aligned(ours: list[Placed], theirs: list[Placed]) -> list[tuple[int, int]]:
+    """Places of nodes with equal digests, ascending on both sides: equal beginnings and ends, and between them the
+    heaviest chain of pairs of the k-th occurrence of a digest here with the k-th there."""
+    a, b = [n.digest for n, _ in ours], [n.digest for n, _ in theirs]
+    start, end = 0, 0
+    short = min(len(a), len(b))
+    while start < short and a[start] == b[start]:
+        start += 1
+    while end < short - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    where = defaultdict(list)
+    for j in range(len(b) - end - 1, start - 1, -1):
+        where[b[j]].append(j)
+    pairs = [(i, where[a[i]].pop()) for i in range(start, len(a) - end) if where.get(a[i])]
+    middle = _heaviest_chain(pairs, [ours[i][0].size for i, _ in pairs])
+    return [(i, i) for i in range(start)] + middle + [(len(a) - k, len(b) - k) for k in range(end, 0, -1)]
+
+
+def _stretches(nodes: list[Placed]) -> list[tuple[int, int]]:
+    """From where to where the nodes reach, neighbours joined."""
+    out: list[tuple[int, int]] = []
+    for node, at in sorted(nodes, key=lambda x: x[1]):
+        if out and out[-1][1] == at:
+            out[-1] = (out[-1][0], at + node.size)
+        elif node.size:
+            out.append((at, at + node.size))
+    return out
+
+
+def compare(a: Node, b: Node) -> tuple[float, list[tuple[int, int]], list[tuple[int, int]]]:
+    """Likeness from 0 to 1, and the stretches (in code points) of either text that the other lacks at that place."""
     if a.digest == b.digest:
         return 1.0, [], []
-    shared, ours, theirs = 0, a.children or [], b.children or []
+    shared, gaps = 0, [(_children([(a, 0)]), _children([(b, 0)]))]
+    left: list[Placed] = []
+    right: list[Placed] = []
     for level in range(3):
-        common, ours, theirs = _pair_off(ours, theirs)
-        shared += common
-        if level < 2:
-            ours = [c for n in ours for c in n.children or []]
-            theirs = [c for n in theirs for c in n.children or []]
-    return 2.0 * shared / (a.size + b.size), ours, theirs
+        below = []
+        for ours, theirs in gaps:
+            pairs = _aligned(ours, theirs)
+            shared += sum(ours[i][0].size for i, _ in pairs)
+            i0 = j0 = 0
+            for i, j in [*pairs, (len(ours), len(theirs))]:
+                mine, other = ours[i0:i], theirs[j0:j]
+                i0, j0 = i + 1, j + 1
+                if mine and other and level < 2:
+                    below.append((_children(mine), _children(other)))
+                else:
+                    left += mine
+                    right += other
+        gaps = below
+    return 2.0 * shared / (a.size + b.size), _stretches(left), _stretches(right)
 
 
 def edited_text(text: str, following: str) -> str:
@@ -133,125 +195,104 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.withColumn(out, roots(F.col(text_col)))
 
 
-def _routes(ids: DataFrame) -> tuple[list[int], dict[int, int], dict[int, int], bool]:
-    """Bucket borders, the largest id of each bucket in use, the bucket before it, and whether ids can be NULL.
+def _line(doc_id: int | None, text: str, own: Node, following: str, following_tree: Node) -> tuple:
+    edited = edited_text(text, following)
+    other = tree(edited)
+    near, at, _ = compare(own, other)
+    return (
+        doc_id,
+        len(text),
+        hashlib.sha256(edited.encode()).hexdigest(),
+        own.digest.hex(),
+        other.digest.hex(),
+        near,
+        compare(own, following_tree)[0],
+        [{"start": a, "end": b} for a, b in at],
+    )
 
-    All are bounded by the number of buckets, not by the rows.
-    """
-    n, n_ids = ids.agg(F.count(F.lit(1)), F.count("doc_id")).first()
-    if not n_ids:
-        return [], {}, {}, n > 0
-    n_buckets = min(MAX_BUCKETS, max(1, ceil_div(n_ids, ROWS_PER_BUCKET)))
-    borders = ids.approxQuantile("doc_id", [i / n_buckets for i in range(1, n_buckets)], 0.1 / n_buckets) if n_buckets > 1 else []
-    borders = sorted({int(x) for x in borders})
-    bucket = _bucket_udf(borders)
-    largest = ids.where("doc_id IS NOT NULL").groupBy(bucket(F.col("doc_id")).alias("b")).agg(F.max("doc_id")).collect()
-    most = {int(b): int(m) for b, m in largest}
-    order = sorted(most, reverse=True)  # buckets in descending order of id
-    before = {b: order[i - 1] for i, b in enumerate(order)}  # the first follows the last
-    return borders, most, before, n > n_ids
 
+_ENDS = [("_place", "int", pa.int32()), ("_first", "boolean", pa.bool_()), ("_text", "string", pa.string())]
 
-def _batch(lines: list[tuple]) -> pa.RecordBatch:
-    columns = [pa.array(c, kind) for c, (_, _, kind) in zip(zip(*lines, strict=True), REPORT, strict=True)]
-    return pa.RecordBatch.from_arrays(columns, names=[name for name, _, _ in REPORT])
 
+def _batch(lines: list[tuple], columns: list[tuple]) -> pa.RecordBatch:
+    arrays = [pa.array(c, kind) for c, (_, _, kind) in zip(zip(*lines, strict=True), columns, strict=True)]
+    return pa.RecordBatch.from_arrays(arrays, names=[name for name, _, _ in columns])
 
-def _bucket_udf(borders: list[int]):
-    @F.arrow_udf("int")
-    def bucket(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for ids in batches:
-            yield pa.array([bisect.bisect_right(borders, i) for i in ids.to_pylist()], pa.int32())
 
-    return bucket
+def _ddl(columns: list[tuple]) -> str:
+    return ", ".join(f"{name} {kind}" for name, kind, _ in columns)
 
 
 def edit_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text against its edited form and against the next document's text.
 
     ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next``.  The next document is the one of the next
-    smaller doc_id; after the last comes the first.  Rows that repeat an id
-    follow each other in the order of their texts.  Rows without an id each
-    count as a last one; if no row has an id, each is its own next.
-
-    Rows go once, with their texts, to a bucket of neighbouring ids and are
-    sorted there; the first row of a bucket also goes to the bucket before it
-    as its closing row.  A task streams over its rows and holds two texts.
+    near_edited, near_next, edited_at``, the last being the stretches of the
+    text that its edited form lacks, by the differing branches.  The next
+    document is the one of the next smaller doc_id; after the last comes the
+    first.  Rows that repeat an id follow each other in the order of their
+    texts' hashes.  Rows without an id each count as a last one; if no row has
+    an id, each is its own next.
+
+    Rows go once, with their texts, to ranges of the order and are sorted
+    there; ranges are cut by id, hash and place, so rows that repeat an id or
+    are equal are no single range.  A task streams over its rows and holds two
+    texts.  It passes on the first and the last row of its range, which meet
+    those of the neighbouring ranges afterwards.  Of rows without an id only
+    the first document's text is needed, which goes to all tasks.
     """
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    borders, most, before, has_null = _routes(rows.select("doc_id"))
-    n_loose = len(borders) + 1 if has_null else 0
-    first = max(most.values(), default=None)
-    loose = range(-n_loose, 0)
-
-    @F.arrow_udf("array<struct<bucket:int,guard:boolean>>")
-    def route(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        kind = pa.list_(pa.struct([("bucket", pa.int32()), ("guard", pa.bool_())]))
-        for ids, salts in batches:
-            out = []
-            for i, salt in zip(ids.to_pylist(), salts.to_pylist(), strict=True):
-                if i is None:
-                    out.append([(-1 - salt % n_loose, False)])
-                    continue
-                b = bisect.bisect_right(borders, i)
-                goes = [(b, False)] + ([(before[b], True)] if most[b] == i else [])
-                out.append(goes + ([(x, True) for x in loose] if i == first else []))
-            yield pa.array([[{"bucket": x, "guard": g} for x, g in goes] for goes in out], kind)
+    spark = docs.sparkSession
+    given = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = given.where("doc_id IS NOT NULL").select("*", F.xxhash64("text").alias("_h"), F.monotonically_increasing_id().alias("_n"))
+    columns = REPORT + _ENDS
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def line(row, following):
-            i, text, own = row
-            edited = edited_text(text, following[1])
-            other = tree(edited)
-            return (
-                i,
-                len(text),
-                hashlib.sha256(edited.encode()).hexdigest(),
-                own.digest.hex(),
-                other.digest.hex(),
-                compare(own, other)[0],
-                compare(own, following[2])[0],
-            )
-
-        held: list[tuple] = []  # rows of this bucket that wait for their next one
-        closed, at, first_row = False, None, None
-
-        def flush():
-            lines = [line(row, row) for row in held]  # only where no guard came: there is no row with an id
-            held.clear()
-            return lines
+        place, held = TaskContext.get().partitionId(), None
+        end = lambda row, first: (row[0], *[None] * (len(REPORT) - 1), place, first, row[1])
+        for batch in batches:
+            out = []
+            for i, text in zip(*(in_slices(batch.column(c)) for c in ("doc_id", "text")), strict=True):
+                row = (i, text, tree(text))
+                out.append((*_line(*held, *row[1:]), None, None, None) if held else end(row, True))
+                held = row
+            if out:
+                yield _batch(out, columns)
+        if held:
+            yield _batch([end(held, False)], columns)
+
+    order = (F.col("doc_id").desc(), "_h", "_n")
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
+    found, _ = written(dealt.mapInArrow(compared, _ddl(columns)))
+    names = [name for name, _, _ in REPORT]
+    places = sorted(r[0] for r in found.where("_first").select("_place").collect())  # one per range
 
+    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            columns = [in_slices(batch.column(c)) for c in ("_bucket", "_guard", "doc_id", "text")]
-            for b, guard, i, text in zip(*columns, strict=True):
-                if b != at:
-                    out += flush()
-                    at, closed, first_row = b, False, None
-                if closed:
-                    continue
-                row = (i, text or "", tree(text))
-                if b < 0:  # loose rows, after their guard
-                    if guard:
-                        first_row = row
-                    else:
-                        out.append(line(row, first_row or row))
-                    continue
-                out += [line(x, row) for x in held]
-                held.clear()
-                if guard:
-                    closed = True
-                else:
-                    held.append(row)
+            cells = zip(*(in_slices(batch.column(c)) for c in ("doc_id", "text", "next")), strict=True)
+            if out := [_line(i, text, tree(text), following, tree(following)) for i, text, following in cells]:
+                yield _batch(out, REPORT)
+
+    after = spark.createDataFrame([(p, places[(k + 1) % len(places)]) for k, p in enumerate(places)], "_place int, _next int")
+    firsts = found.where("_first").select(F.col("_place").alias("_next"), F.col("_text").alias("next"))
+    lasts = found.where("NOT _first").select("doc_id", "_place", F.col("_text").alias("text"))
+    closing = lasts.join(after, "_place").join(firsts, "_next").select("doc_id", "text", "next")
+    report = found.where("_first IS NULL").select(names).union(closing.mapInArrow(closed, _ddl(REPORT)))
+
+    loose = given.where("doc_id IS NULL")
+    if loose.isEmpty():
+        return report
+    first = found.where(F.col("_first") & (F.col("_place") == places[0])).select("_text").first()[0] if places else None
+    sent = spark.sparkContext.broadcast(first)
+
+    def alone(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        following = sent.value
+        root = tree(following) if following is not None else None
+        for batch in batches:
+            out = []
+            for text in in_slices(batch.column("text")):
+                own = tree(text)
+                out.append(_line(None, text, own, text, own) if root is None else _line(None, text, own, following, root))
             if out:
-                yield _batch(out)
-        if out := flush():
-            yield _batch(out)
-
-    salt = F.crc32(F.encode(F.coalesce("text", F.lit("")), "UTF-8"))
-    goes = rows.select("doc_id", "text", F.explode(route("doc_id", salt)).alias("_to"))
-    routed = goes.select("doc_id", "text", F.col("_to.bucket").alias("_bucket"), F.col("_to.guard").alias("_guard"))
-    guard_order = F.when(F.col("_bucket") < 0, ~F.col("_guard")).otherwise(F.col("_guard"))
-    dealt = routed.repartition("_bucket").sortWithinPartitions("_bucket", guard_order, F.col("doc_id").desc(), "text")
-    return dealt.mapInArrow(compared, ", ".join(f"{name} {kind}" for name, kind, _ in REPORT))
+                yield _batch(out, REPORT)
+
+    return report.union(loose.select("text").mapInArrow(alone, _ddl(REPORT)))
