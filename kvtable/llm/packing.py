@@ -3,13 +3,18 @@
 A document's ids are its tokens and one end id.  Only documents longer than a
 sequence are cut, into whole sequences and a last shorter piece.
 
-Packing works on groups of about ``docs_per_group`` documents by a hash of
-the document, so that no task's work grows with the corpus.  Within a group
-pieces come longest first; each goes to the open sequence whose gap leaves
-the sum of the squared counts of open sequences per gap smallest, ties to
-the least remaining gap, and a new sequence opens only where no open one has
-room.  This leaves at most a part of one sequence per group free on real
-length distributions (measured in the README).
+Packing works on groups of about ``docs_per_group`` pieces by a hash of the
+piece and its place, so that no task's work grows with the corpus and no id
+or text is one group.  Within a group pieces come longest first; each goes to
+the open sequence whose gap leaves the sum of the squared counts of open
+sequences per gap smallest, ties to the least remaining gap.  A new sequence
+opens only where no open one has room: as a candidate like the others it is
+taken too often, which costs sequences (measured in the README).
+
+A group so ends with some sequences that others could still fill.  These ends
+are packed once more, whole, by the same rule, over groups of groups, until
+all of them were in one or no more fit together.  What stays free on real
+length distributions is in the README.
 
 NULL texts pack as empty ones (just the end id); repeated rows are packed
 each; an empty table has no pieces.  Result per piece: ``doc_id, piece,
@@ -29,8 +34,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kvtable.llm.common import PieceCache, ceil_div, slices
+from kvtable.llm.shared import written
 
 DOCS_PER_GROUP = 8192
+#: Sequences with a gap of at least a capacity's 1/ENDS are packed once more.
+ENDS = 16
+#: Most moved sequences (three numbers each) that are broadcast; beyond it the join shuffles.
+MAX_BROADCAST_ROWS = 200_000
 #: Entries of a generation of a worker's memo, about 150 bytes each.
 CACHED_RUNS = 250_000
 
@@ -138,11 +148,10 @@ def sum_of_squares(lengths: Iterable[int], capacity: int) -> tuple[list[int], li
     open_at: dict[int, list[int]] = {}
     sequences, offsets, opened = [], [], 0
     for length in lengths:
-        gaps = np.flatnonzero(count[length:])
+        gaps = np.flatnonzero(count[length:])  # what would remain of each open gap with room
         if len(gaps):
-            left = gaps  # what remains of each gap
-            change = np.where(left == 0, 0, 2 * count[left] + 1) - 2 * count[gaps + length] + 1
-            rest = int(left[change.argmin()])
+            change = np.where(gaps == 0, 0, 2 * count[gaps] + 1) - 2 * count[gaps + length] + 1
+            rest = int(gaps[change.argmin()])
             gap = rest + length
             sequence = open_at[gap].pop()
             count[gap] -= 1
@@ -174,26 +183,75 @@ def _grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def pack_pieces(pieces: DataFrame, capacity: int, n_groups: int) -> DataFrame:
-    """Adds ``sequence_id, offset`` to rows with ``doc_id, piece, length``; lengths are 1 to ``capacity``."""
-    fields = [f for f in pieces.schema.fields if f.name not in ("sequence_id", "offset", "_group")]
+def _placed(rows: DataFrame, capacity: int) -> DataFrame:
+    """Adds ``sequence_id, offset, fill`` to rows with ``_group`` and ``length``; ``fill`` is what its sequence holds in all."""
+    fields = [f for f in rows.schema.fields if f.name != "_group"]
     names = [f.name for f in fields]
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in _grouped(batches):
             lengths = group.column("length").to_numpy()
             order = np.argsort(-lengths, kind="stable")
-            sequences, offsets = sum_of_squares(lengths[order].tolist(), capacity)
+            sequences, offsets = (np.array(x, np.int64) for x in sum_of_squares(lengths[order].tolist(), capacity))
+            fills = np.bincount(sequences, lengths[order]).astype(np.int64)
             base = group.column("_group")[0].as_py() << 32
             out = group.select(names).take(pa.array(order))
-            out = out.append_column("sequence_id", pa.array(np.array(sequences, np.int64) + base))
-            out = out.append_column("offset", pa.array(np.array(offsets, np.int64)))
+            for name, values in (("sequence_id", sequences + base), ("offset", offsets), ("fill", fills[sequences])):
+                out = out.append_column(name, pa.array(values))
             yield from out.to_batches(max_chunksize=10_000)
 
-    rows = pieces.select(*names, F.pmod(F.xxhash64("doc_id"), F.lit(n_groups)).alias("_group"))
-    rows = rows.repartition("_group").sortWithinPartitions("_group", "doc_id", "piece")
+    dealt = rows.repartition("_group").sortWithinPartitions("_group")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return rows.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint")
+    return dealt.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint, fill bigint")
+
+
+def joined_ends(ends: DataFrame, capacity: int, per_group: int) -> DataFrame | None:
+    """``sequence_id, to, shift``: sequences that go on within another one, from that place; ``ends`` holds ``sequence_id, fill``."""
+    now, paths, moves = ends.select("sequence_id", "fill"), [], None
+
+    def stored(df: DataFrame) -> DataFrame:
+        df, path = written(df)
+        paths.append(path)
+        return df
+
+    n = now.count()
+    while n > 1:
+        groups = ceil_div(n, per_group)
+        number = F.pmod(F.xxhash64("sequence_id"), F.lit(groups))
+        rows = now.select(F.col("sequence_id").alias("own"), F.col("fill").alias("length"), number.alias("_group"))
+        step = stored(_placed(rows, capacity))
+        heads = step.where("offset = 0").select("sequence_id", F.col("own").alias("to"), F.col("fill").alias("whole"))
+        step = step.join(heads, "sequence_id").select(F.col("own").alias("sequence_id"), "to", F.col("offset").alias("shift"), "whole")
+        own = step.select("sequence_id", "to", "shift")
+        if moves is None:
+            moves = stored(own)
+        else:
+            after = own.select(F.col("sequence_id").alias("to"), F.col("to").alias("_to"), F.col("shift").alias("_shift"))
+            on = moves.join(after, "to", "left")
+            moves = stored(on.select("sequence_id", F.coalesce("_to", "to").alias("to"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift")))
+        now = stored(step.where((F.col("shift") == 0) & _is_end(F.col("whole"), capacity)).select("sequence_id", F.col("whole").alias("fill")))
+        before, n = n, now.count()
+        if groups == 1 or n > 0.9 * before:
+            break
+    return moves.where("shift > 0") if moves is not None else None
+
+
+def _is_end(fill: Column, capacity: int) -> Column:
+    return F.lit(capacity) - fill >= F.lit(max(1, capacity // ENDS))
+
+
+def pack_pieces(pieces: DataFrame, capacity: int, n_groups: int, per_group: int = DOCS_PER_GROUP) -> DataFrame:
+    """Adds ``sequence_id, offset`` to rows with ``doc_id, piece, length``; lengths are 1 to ``capacity``."""
+    names = [c for c in pieces.columns if c not in ("sequence_id", "offset", "fill", "_group")]
+    number = F.pmod(F.xxhash64("doc_id", "piece", F.monotonically_increasing_id()), F.lit(n_groups))
+    first, _ = written(_placed(pieces.select(*names, number.alias("_group")), capacity))
+    moves = joined_ends(first.where((F.col("offset") == 0) & _is_end(F.col("fill"), capacity)), capacity, per_group)
+    if moves is None:
+        return first.drop("fill")
+    few = moves.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS
+    both = first.join(F.broadcast(moves) if few else moves, "sequence_id", "left")
+    at = (F.col("offset") + F.coalesce("shift", F.lit(0))).alias("offset")
+    return both.select(*names, F.coalesce("to", "sequence_id").alias("sequence_id"), at)
 
 
 def pack(
@@ -220,4 +278,4 @@ def pack(
         F.col("_p.ids_crc32").alias("ids_crc32"),
         *([F.col("_p.ids").alias("ids")] if keep_ids else []),
     )
-    return pack_pieces(pieces, capacity, n_groups)
+    return pack_pieces(pieces, capacity, n_groups, docs_per_group)

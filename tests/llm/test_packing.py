@@ -108,3 +108,31 @@ def test_query_is_whole_and_tight(spark, small, tokenizer):
     docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{small}/documents.parquet").collect()]
     rows = queries.op5_best_fit_packing(spark, small).collect()
     assert check(rows, docs, 4096, tokenizer) <= -(-sum(r["length"] for r in rows) // 4096) + 1
+
+
+@pytest.mark.parametrize("per_group", [8192, 30, 7])
+def test_ends_of_groups_are_packed_again(spark, per_group):
+    """Many groups leave many part-filled sequences; packed again they are hardly more than the lower bound."""
+    rng = random.Random(4)
+    lengths = [rng.choice([rng.randint(1, 40), rng.randint(1, 400), 1000]) for _ in range(900)]
+    rows = spark.createDataFrame([(i % 5 or None, n, n) for i, n in enumerate(lengths)], "doc_id bigint, piece int, length bigint")
+    found = packing.pack_pieces(rows, 1000, -(-900 // per_group), per_group).collect()
+    assert sorted(r["length"] for r in found) == sorted(lengths)
+    sequences = defaultdict(list)
+    for r in found:
+        sequences[r["sequence_id"]].append((r["offset"], r["length"]))
+    for parts in sequences.values():
+        at = 0
+        for offset, length in sorted(parts):
+            assert offset == at
+            at += length
+        assert at <= 1000
+    bound = -(-sum(lengths) // 1000)
+    assert len(sequences) <= bound * (1.01 if per_group > 7 else 1.05) + 1
+
+
+def test_one_id_and_one_text_are_no_single_group(spark):
+    rows = spark.createDataFrame([(None, 0, 10)] * 600, "doc_id bigint, piece int, length bigint").repartition(3)
+    found = packing.pack_pieces(rows, 100, 20, 30)
+    sizes = [r["count"] for r in found.groupBy(found.sequence_id.bitwiseAND(~0xFFFFFFFF)).count().collect()]
+    assert found.select("sequence_id").distinct().count() <= 62 and max(sizes) < 100
