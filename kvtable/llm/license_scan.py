@@ -59,6 +59,20 @@ that the following conditions are met: Redistributions of source code must retai
 list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright
 notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided
 with the distribution."""
+_BSD_THIRD = """Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote
+products derived from this software without specific prior written permission."""
+_BSD_DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED
+WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR
+PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT,
+INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE
+GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF
+LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT
+OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC_DISCLAIMER = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE
+INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY
+SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR
+PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH
+THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
 #: Standard notices (licence identifier, text).  Callers may pass their own.
 TEMPLATES: list[tuple[str, str]] = [
@@ -67,7 +81,9 @@ TEMPLATES: list[tuple[str, str]] = [
     ("Apache-2.0", _APACHE),
     ("BSD-2-Clause", "Licensed under the BSD 2-Clause License."),
     ("BSD-2-Clause", _BSD),
+    ("BSD-2-Clause", f"{_BSD} {_BSD_DISCLAIMER}"),
     ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("BSD-3-Clause", _BSD_THIRD),  # the rest is BSD-2-Clause, which is found too
     ("CC-BY-4.0", "Licensed under CC BY 4.0."),
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
@@ -77,6 +93,7 @@ TEMPLATES: list[tuple[str, str]] = [
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0", _GPL),
     ("ISC", _ISC),
+    ("ISC", f"{_ISC} {_ISC_DISCLAIMER}"),
     ("LGPL-3.0", "This work is licensed under the GNU Lesser General Public License, version 3."),
     ("MIT", "Released under the MIT License."),
     ("MIT", _MIT),
@@ -87,6 +104,14 @@ TEMPLATES: list[tuple[str, str]] = [
 ]
 
 
+def templates_from(table: DataFrame, id_col: str = "license", text_col: str = "text") -> list[tuple[str, str]]:
+    """Templates from the rows of a table (NULLs left out), at most ``MAX_TEMPLATES``; more are an error."""
+    rows = table.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col).limit(MAX_TEMPLATES + 1).collect()
+    if len(rows) > MAX_TEMPLATES:
+        raise ValueError("too many templates for one literal: scan with parts of them")
+    return sorted((r[0], r[1]) for r in rows)
+
+
 def bigrams_of(text: str) -> list[str]:
     """The normal form of a template, by the rule that the plan applies to units."""
     words = re.sub("[^A-Za-z0-9]+", " ", text).lower().split()
@@ -212,19 +237,25 @@ def _let(value: Column, then) -> Column:
     return F.transform(F.array(value), then)
 
 
+def _run_bounds(template: str, threshold: float) -> tuple[int, int]:
+    """The fewest of a template's bigrams that a matching run holds, and the most bigrams of a run."""
+    own = bigrams_of(template)
+    length = len(re.sub("[^A-Za-z0-9]+", " ", template).split()) - 1
+    return max(1, math.ceil(threshold / (2 - threshold) * len(own) - 1e-9)), math.floor(length * (2 - threshold) / threshold + 1e-9)
+
+
 def _embedded(text: Column, templates: Sequence[tuple[str, str]], found: Column, threshold: float) -> Column:
     """The best run of words of the text for each template whose licence is not in ``found``, if it reaches the threshold.
 
     Line ends do not count.  A run that matches holds ``t / (2 - t)`` of a template's bigrams, and the best one begins and
     ends with one of them; runs go up to ``(2 - t) / t`` of the template's length.
     """
-    rows = []
-    for name, template in templates:
-        if own := bigrams_of(template):
-            length = len(re.sub("[^A-Za-z0-9]+", " ", template).split()) - 1
-            need = max(1, math.ceil(threshold / (2 - threshold) * len(own) - 1e-9))
-            most = math.floor(length * (2 - threshold) / threshold + 1e-9)
-            rows.append({"id": name, "n": len(own), "need": need, "most": most, "b": own})
+    rows = [
+        {"id": name, "n": len(own), "need": need, "most": most, "b": own}
+        for name, template in templates
+        if (own := bigrams_of(template))
+        for need, most in [_run_bounds(template, threshold)]
+    ]
     table = F.from_json(F.lit(json.dumps(rows)), "array<struct<id:string,n:int,need:int,most:int,b:array<string>>>")
     words = F.array_remove(F.split(F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), "[^A-Za-z0-9]+", " ")), " "), "")
 
@@ -272,13 +303,18 @@ def summary(scanned: DataFrame) -> DataFrame:
 
 
 def oracle(templates: Sequence[tuple[str, str]] = TEMPLATES, threshold: float = THRESHOLD) -> str:
-    """The summary of ``documents`` in DuckDB SQL, comparing every unit with every template."""
+    """The summary of ``documents``, embedded notices included, in DuckDB SQL: every unit and every run of words that
+    begins and ends with a bigram of a template, against it."""
     quoted = lambda s: "'" + s.replace("'", "''") + "'"
     values = ", ".join(
-        f"({quoted(name)}, [{', '.join(map(quoted, bigrams_of(text)))}])" for name, text in templates if bigrams_of(text)
+        f"({quoted(name)}, [{', '.join(map(quoted, own))}], {need}, {most})"
+        for name, text in templates
+        if (own := bigrams_of(text))
+        for need, most in [_run_bounds(text, threshold)]
     )
     return rf"""
-WITH templates(id, b) AS (VALUES {values}),
+WITH given(id, tb, need, most) AS (VALUES {values}),
+templates AS (SELECT row_number() OVER () AS t, * FROM given),
 docs AS (SELECT row_number() OVER () AS r, doc_id, text FROM documents),
 units AS (
   SELECT DISTINCT r, unnest(list_concat(string_split(text, chr(10)), regexp_split_to_array(text, '\n[ \t\r]*\n'))) AS unit
@@ -289,12 +325,25 @@ worded AS (
 sets AS (
   SELECT r, unit, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS b
   FROM worded WHERE len(w) >= 2),
-found AS (
-  SELECT r, id, 2.0::DOUBLE * len(list_intersect(sets.b, templates.b)) / (len(sets.b) + len(templates.b)) AS dice
-  FROM sets, templates),
-matched AS (
-  SELECT r, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS licenses, max(dice) AS dice
-  FROM found WHERE dice >= {threshold!r} GROUP BY r)
+compared AS (
+  SELECT r, id, 2.0::DOUBLE * len(list_intersect(sets.b, tb)) / (len(sets.b) + len(tb)) AS dice FROM sets, templates),
+whole AS (SELECT r, id, dice FROM compared WHERE dice >= {threshold!r}),
+texts AS (
+  SELECT r, list_filter(string_split(lower(regexp_replace(text, '[^A-Za-z0-9]+', ' ', 'g')), ' '), lambda x: x <> '') AS w
+  FROM docs WHERE text IS NOT NULL),
+grams AS (SELECT r, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM texts WHERE len(w) >= 2),
+rest AS (
+  SELECT r, t, id, tb, need, most, b FROM grams, templates
+  WHERE len(list_intersect(b, tb)) >= need AND NOT EXISTS (SELECT 1 FROM whole WHERE whole.r = grams.r AND whole.id = templates.id)),
+hits AS (SELECT *, list_filter(range(1, len(b) + 1), lambda i: list_contains(tb, b[i])) AS h FROM rest),
+starts AS (SELECT *, unnest(range(1, len(h) + 1)) AS k FROM hits),
+runs AS (SELECT *, unnest(h[k + need - 1 : k + need + most - 2]) AS e FROM starts),
+scored AS (
+  SELECT r, t, id, 2.0::DOUBLE * len(list_intersect(b[h[k] : e], tb)) / (len(list_distinct(b[h[k] : e])) + len(tb)) AS dice
+  FROM runs WHERE e - h[k] < most),
+best AS (SELECT r, t, id, max(dice) AS dice FROM scored GROUP BY r, t, id),
+found AS (SELECT * FROM whole UNION ALL SELECT r, id, dice FROM best WHERE dice >= {threshold!r}),
+matched AS (SELECT r, count(*) AS n, string_agg(DISTINCT id, ',' ORDER BY id) AS licenses, max(dice) AS dice FROM found GROUP BY r)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_matches, coalesce(licenses, '') AS licenses, coalesce(dice, 0.0)::DOUBLE AS best_dice
 FROM docs LEFT JOIN matched USING (r)
 """

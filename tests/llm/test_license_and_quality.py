@@ -78,6 +78,71 @@ def test_notices_in_paragraphs_and_within_lines_are_found(spark):
     assert found[3]["best_dice"] == 1.0 and found[0]["best_dice"] == 1.0
 
 
+def brute_embedded(text, templates, threshold, found):
+    """For each template of a licence that is not in ``found``: the best of all runs of words, if it reaches the threshold."""
+    words = re.sub("[^A-Za-z0-9]+", " ", text or "").lower().split()
+    grams = [f"{a} {b}" for a, b in zip(words, words[1:], strict=False)]
+    out = []
+    for name, template in templates:
+        other = set(license_scan.bigrams_of(template))
+        best = 0.0
+        for a in range(len(grams) if name not in found else 0):
+            own = set()
+            for b in range(a, len(grams)):
+                own.add(grams[b])
+                best = max(best, 2 * len(own & other) / (len(own) + len(other)))
+        if best >= threshold:
+            out.append((name, round(best, 9)))
+    return sorted(out)
+
+
+def test_embedded_notices_equal_all_runs_and_the_sql(spark, tmp_path):
+    import random
+
+    rng = random.Random(6)
+    notices = [t for _, t in license_scan.TEMPLATES if len(t) < 500]
+    texts = [None, "", "license", "All rights reserved"]
+    for k in range(40):
+        words = rng.choice(notices).split()
+        for _ in range(rng.randint(0, 4)):
+            words[rng.randrange(len(words))] = rng.choice(["other", "software", "license", "\n\n", "\n"])
+        before, after = (" ".join(rng.choice(["some", "prose", "the", "license", "of"]) for _ in range(rng.randint(0, 6))) for _ in range(2))
+        texts.append(before + rng.choice([" ", "\n", "\n\n"]) + " ".join(words) + rng.choice([" ", "\n# "]) + after)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for r in license_scan.scan(docs, embedded=True).join(docs, "doc_id").collect():
+        units = dice_scan(r["text"], license_scan.TEMPLATES, 0.8)
+        want = [(n, d) for _, n, d in units] + brute_embedded(r["text"], license_scan.TEMPLATES, 0.8, {n for _, n, _ in units})
+        assert sorted((m["license"], round(m["dice"], 9)) for m in r["matches"]) == sorted(want), r["text"]
+    docs.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    rows = con.sql(license_scan.oracle()).fetchall()
+    assert sorted(rows) == sorted(tuple(r) for r in license_scan.summary(license_scan.scan(docs, embedded=True)).collect())
+
+
+def test_full_texts_are_found_alone_commented_and_before_code(spark):
+    full = {n: t for n, t in license_scan.TEMPLATES if len(t) > 400}
+    full["BSD-3-Clause"] = f"{license_scan._BSD} {license_scan._BSD_THIRD} {license_scan._BSD_DISCLAIMER}"
+    code = "\nint main(void) {\n  return 0;\n}\n" * 5
+    texts = []
+    for name, text in full.items():
+        lines = re.findall(r".{1,70}(?:\s|$)", " ".join(text.split()))
+        texts += [(name, "\n".join(lines)), (name, "\n".join("// " + x for x in lines) + code), (name, "\n".join(lines) + code)]
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(texts)], "doc_id bigint, text string")
+    found = {r["doc_id"]: r["licenses"].split(",") for r in license_scan.summary(license_scan.scan(docs, embedded=True)).collect()}
+    assert set(full) >= {"MIT", "Apache-2.0", "GPL-3.0", "BSD-2-Clause", "BSD-3-Clause", "ISC"}
+    assert all(name in found[i] for i, (name, _) in enumerate(texts))
+
+
+def test_templates_from_a_table(spark):
+    table = spark.createDataFrame([("A", "one two three"), (None, "x"), ("B", None)], "license string, text string")
+    assert license_scan.templates_from(table) == [("A", "one two three")]
+    with pytest.raises(ValueError, match="too many"):
+        license_scan.templates_from(spark.range(501).selectExpr("'x' AS license", "'a b' AS text"))
+
+
 def test_no_match_lacks_the_telling_words():
     import random
 
