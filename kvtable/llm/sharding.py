@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 
 #: Hex digits of the row hash that spread a shard's rows over slot buckets: 16**3 buckets a shard.
 BUCKET_DIGITS = 3
+#: Equal rows that are told apart at a time.
+COPIES = 4096
 
 
 @dataclass(frozen=True)
@@ -61,7 +63,12 @@ def uniform_tree(n_shards: int, racks_per_region: int = 3, shards_per_rack: int
 
 
 def grown(tree: Tree, weight: float = 1.0) -> Tree:
-    """The tree with one more shard, the next free number, in a region of its own."""
+    """The tree with one more shard, the next free number, in a region of its own.
+
+    Only there does it take rows into itself alone.  In a rack that holds
+    others it would raise the rack's weight, and rows that the rack wins would
+    descend to the other shards too; add it to ``racks`` where that is wanted.
+    """
     shard = 1 + max(s for shards in tree.racks.values() for s in shards)
     return Tree({**tree.racks, f"g{shard}/k{shard}": {shard: weight}})
 
@@ -112,7 +119,9 @@ def placement(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str
 
     Slots are gapless from 0 in each shard, in the order of the row hash:
     rows are numbered within (shard, bucket), and a bucket starts where the
-    counts of the buckets before it end.  No task sees a whole shard.
+    counts of the buckets before it end.  No task sees a whole shard.  Equal
+    rows, whose results differ in the slot alone, are counted before they are
+    numbered and told apart again afterwards.
     """
     data = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(
@@ -128,19 +137,19 @@ def placement(docs: DataFrame, tree: Tree, id_col: str = "doc_id", text_col: str
         F.md5(F.concat("_key", F.lit("#"), F.col("text_crc32").cast("string"))).alias("_hash"),
     )
     rows = rows.select("*", shard_number(F.col("path")).alias("shard"), F.substring("_hash", 1, BUCKET_DIGITS).alias("_bucket"))
-    counts = rows.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    rows = rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("_c"))
+    counts = rows.groupBy("shard", "_bucket").agg(F.sum("_c").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
     order = Window.partitionBy("shard", "_bucket").orderBy("_hash", "doc_id", "size", "text_crc32")
-    numbered = rows.withColumn("_nth", F.row_number().over(order) - 1)
-    return numbered.join(starts, ["shard", "_bucket"]).select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        "path",
-        "shard",
-        (F.col("_start") + F.col("_nth")).cast("bigint").alias("slot"),
-    )
+    numbered = rows.withColumn("_nth", F.coalesce(F.sum("_c").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    names = ["doc_id", "size", "text_crc32", "path", "shard"]
+    slot = (F.col("_start") + F.col("_nth")).cast("bigint").alias("_at")
+    # equal rows again, in two steps: no array is longer than COPIES
+    blocks = numbered.join(starts, ["shard", "_bucket"]).select(*names, slot, "_c", F.explode(F.sequence(F.lit(0), F.col("_c") - 1, F.lit(COPIES))).alias("_b"))
+    last = F.least(F.col("_b") + F.lit(COPIES), F.col("_c")) - 1
+    copies = blocks.select(*names, "_at", F.explode(F.sequence(F.col("_b"), last)).alias("_copy"))
+    return copies.select(*names, (F.col("_at") + F.col("_copy")).cast("bigint").alias("slot"))
 
 
 def _half_byte_table() -> list[int]:

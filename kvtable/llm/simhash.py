@@ -38,7 +38,9 @@ from kvtable.llm.shared import removed, written
 BITS = 64
 SEED = 42
 BUCKET = 2048
-#: Most oversized buckets (two numbers each) that are broadcast; beyond it the join shuffles.
+#: Rows of one fingerprint from which it is no key of a shuffle.
+OFTEN = 5_000
+#: Most oversized buckets or frequent fingerprints (two numbers each) that are broadcast; beyond it the join shuffles.
 MAX_BROADCAST_ROWS = 500_000
 #: Groups up to this size are first tested together, so many rows at a time.
 SMALL, SEARCHED = 64, 10_000
@@ -236,8 +238,20 @@ def hex_of(fp: Column) -> Column:
 
 
 def near_duplicates(docs: DataFrame, shingle: int, radius: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``doc_id, fingerprint, component_id`` for each row."""
+    """``doc_id, fingerprint, component_id`` for each row.
+
+    Fingerprints of more than ``OFTEN`` rows, as copies or empty texts have, meet their component in a broadcast.
+    """
     rows = fingerprints(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), shingle)
     rows, _ = written(rows.select("doc_id", "fp"))
     found = clusters(rows, radius).select("fp", "component_id")
-    return rows.join(found, "fp").select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")
+    often = rows.groupBy("fp").count().where(F.col("count") > OFTEN).select("fp")
+    hot, path = written(found.join(often, "fp").withColumn("_hot", F.lit(True)))
+    if 0 < hot.limit(MAX_BROADCAST_ROWS + 1).count() <= MAX_BROADCAST_ROWS:
+        both = rows.join(F.broadcast(hot), "fp", "left")
+        rest = both.where("_hot IS NULL").select("doc_id", "fp").join(found, "fp")
+        placed = both.where("_hot").select("fp", "doc_id", "component_id").union(rest)
+    else:
+        removed(rows.sparkSession, path)
+        placed = rows.join(found, "fp")
+    return placed.select("doc_id", hex_of(F.col("fp")).alias("fingerprint"), "component_id")

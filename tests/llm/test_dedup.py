@@ -95,7 +95,9 @@ def test_groups_that_span_batches():
     assert whole and joined(7) == whole == joined(1)
 
 
-def test_simhash_rows(spark, edge, edge_rows, empty, clashing):
+@pytest.mark.parametrize("often", [5_000, 1])
+def test_simhash_rows(spark, edge, edge_rows, empty, clashing, often, monkeypatch):
+    monkeypatch.setattr(simhash, "OFTEN", often)
     fps = [brute_fingerprint(r[1], 3) for r in edge_rows]
     label = brute_components(fps, 2)
     want = sorted(

@@ -75,3 +75,15 @@ def test_weights(spark):
     only = sharding.Tree({"r0/k0": {0: 0.0, 1: 2.0}, "r1/k1": {2: 0.0}})
     got = sharding.assign(spark.range(50).withColumnRenamed("id", "doc_id"), only)
     assert {r["shard"] for r in got.collect()} == {1}
+
+
+def test_many_equal_rows_get_gapless_slots(spark, monkeypatch):
+    monkeypatch.setattr(sharding, "COPIES", 7)
+    rows = [(5, "same")] * 100 + [(None, None)] * 31 + [(i + 10, "x") for i in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    found = sharding.placement(docs, sharding.uniform_tree(3)).collect()
+    assert len(found) == len(rows)
+    for shard in range(3):
+        slots = sorted(r["slot"] for r in found if r["shard"] == shard)
+        assert slots == list(range(len(slots)))
+    assert sum(r["doc_id"] == 5 for r in found) == 100 and sum(r["doc_id"] is None for r in found) == 31
