@@ -38,7 +38,9 @@ class Options:
     """Defaults as documented for the store; out-of-range values are clamped or rejected.
 
     ``write_buffer_bytes`` bounds what single puts and deletes hold on the
-    driver before a flush; bulk upserts are not buffered.
+    driver before a flush; bulk upserts are not buffered.  ``compaction`` is
+    ``tiered`` (the neighbouring runs with the fewest rows are merged) or
+    ``oldest`` (always the oldest ones, which rewrites the base each time).
     """
 
     write_buffer_bytes: int = 4 << 20
@@ -48,6 +50,7 @@ class Options:
     max_runs: int = 4
     keep_local: int = 4
     row_group_bytes: int = 16 << 20
+    compaction: str = "tiered"
 
     def __post_init__(self) -> None:
         if self.write_buffer_bytes <= 0:
@@ -56,6 +59,8 @@ class Options:
             raise ValueError("bloom_bits and bloom_hashes must be positive")
         if self.max_runs < 1:
             raise ValueError("max_runs must be at least 1")
+        if self.compaction not in ("tiered", "oldest"):
+            raise ValueError("compaction must be tiered or oldest")
         object.__setattr__(self, "index_every", max(1, self.index_every))
         object.__setattr__(self, "keep_local", max(0, self.keep_local))
 

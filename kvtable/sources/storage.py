@@ -1,7 +1,14 @@
-"""Small file operations of the driver on any Hadoop file system; row data never passes through here."""
+"""Small file operations of the driver on a Hadoop file system; row data never passes through here.
+
+A commit relies on a rename that fails if the target exists, in one step.
+Local files and HDFS have it; an object store that emulates renames does not,
+and two writers there need a lock of their own.
+"""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 
@@ -32,8 +39,8 @@ class Storage:
 
     def create(self, name: str, text: str) -> None:
         """Writes a file whole or not at all; raises FileExistsError if there is one of that name."""
-        place, beside = self._path(name), self._path(name + ".tmp")
-        stream = self._fs.create(beside, True)
+        place, beside = self._path(name), self._path(f"{name}.{uuid.uuid4().hex}.tmp")
+        stream = self._fs.create(beside, False)
         try:
             stream.write(bytearray(text.encode()))
         finally:
@@ -46,13 +53,13 @@ class Storage:
             files.rename(self._fs.makeQualified(beside), self._fs.makeQualified(place), modes)
         except Exception as error:
             self._fs.delete(beside, False)
-            if "FileAlreadyExists" in str(error):
+            if "FileAlreadyExists" in str(error) or self._fs.exists(place):
                 raise FileExistsError(name) from error
             raise
 
-    def copy(self, source: str, target: str) -> None:
-        util = self._jvm.org.apache.hadoop.fs.FileUtil
-        util.copy(self._fs, self._path(source), self._fs, self._path(target), False, True, self._hadoop)
+    def age(self, name: str) -> float:
+        """Seconds since a file or folder was last changed."""
+        return self._jvm.java.lang.System.currentTimeMillis() / 1000 - self._fs.getFileStatus(self._path(name)).getModificationTime() / 1000
 
     def delete(self, name: str) -> None:
         self._fs.delete(self._path(name), True)

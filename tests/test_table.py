@@ -245,3 +245,156 @@ def test_streaming_ingest_applies_a_batch_once(spark, path, tmp_path):
     version = t.manifest.version
     t.upsert(batch, order="n", batch=("events", 0))  # delivered again
     assert t.manifest.version == version
+
+
+# --- two writers --------------------------------------------------------------------
+
+
+def test_vacuum_of_a_stale_handle_keeps_what_others_committed(spark, path):
+    a, b = Table.open(spark, path), Table.open(spark, path)
+    a.put(b"k", b"a")
+    a.flush()
+    assert b.vacuum() == 0 and Table.open(spark, path).get(b"k") == b"a"
+    a.put(b"k", b"newer")
+    a.flush()
+    a.compact(max_runs=1)
+    assert b.vacuum() == 2 and Table.open(spark, path).get(b"k") == b"newer"
+
+
+def test_vacuum_keeps_runs_that_are_being_written(spark, path):
+    """Another handle vacuums after a run, or a copy for the remote tier, is written and before it is committed."""
+    a, b = Table.open(spark, path, Options(keep_local=0)), Table.open(spark, path)
+    commit, seen = a._commit, []
+
+    def late(manifest):
+        seen.append(b.vacuum())
+        commit(manifest)
+
+    a._commit = late
+    a.put(b"k", b"1")
+    a.flush()
+    a.tier()
+    a.put(b"k", b"2")
+    a.flush()
+    a.compact(max_runs=1)
+    assert seen == [0, 0, 1, 0, 2]  # what was replaced in between goes
+    assert Table.open(spark, path).get(b"k") == b"2" and Table.open(spark, path).runs().first()["tier"] == "remote"
+    assert b.vacuum() == 1 and b.vacuum(abandoned_after=0) == 0
+
+
+def test_abandoned_runs_go_after_their_time(spark, path):
+    t = Table.open(spark, path)
+    t.put(b"k", b"1")
+    t.flush()
+    spark.range(1).write.parquet(t._run_path(7, "runs"))  # a writer that died
+    assert t.vacuum() == 0 and t.vacuum(abandoned_after=-1) == 1 and t.get(b"k") == b"1"
+
+
+def test_writers_share_no_names(spark, path):
+    a, b = Table.open(spark, path), Table.open(spark, path)
+    assert a._run_path(0, "runs") != b._run_path(0, "runs")
+    a.storage.create("manifests/x.json", "a")
+    with pytest.raises(FileExistsError):
+        b.storage.create("manifests/x.json", "b")
+    assert a.storage.read("manifests/x.json") == "a" and a.storage.names("manifests") == ["x.json"]
+
+
+def test_the_loser_refreshes_and_goes_on(spark, path):
+    a, b = Table.open(spark, path), Table.open(spark, path)
+    a.put(b"k", b"a")
+    a.put(b"j", b"a")
+    a.flush()
+    b.put(b"k", b"b")
+    with pytest.raises(FileExistsError):
+        b.flush()
+    b.refresh()
+    b.flush()
+    assert rows(Table.open(spark, path).scan()) == [(b"j", b"a"), (b"k", b"b")]
+
+
+def test_a_batch_takes_one_sequence_number(spark, path):
+    t = Table.open(spark, path)
+    batch = spark.range(8).repartition(4).select(F.encode(F.col("id").cast("string"), "UTF-8").alias("key"), F.lit(b"v").alias("value"))
+    t.upsert(batch)
+    t.upsert(batch)
+    assert t.manifest.max_seq == 2 and t.scan().count() == 8
+
+
+# --- reads, compaction, variants --------------------------------------------------------
+
+
+def test_lookups_read_only_runs_that_can_hold_the_keys(spark, path, monkeypatch):
+    t = Table.open(spark, path)
+    for low in (0, 1000, 2000):
+        t.upsert(spark.range(low, low + 1000).select(F.encode(F.format_string("%05d", "id"), "UTF-8").alias("key"), F.lit(b"v").alias("value")))
+    asked = spark.createDataFrame([(bytearray(b"%05d" % i),) for i in (1001, 1500, 9999)], "key binary")
+    for named in (200, 1):
+        monkeypatch.setattr("kvtable.table.NAMED_KEYS", named)
+        ops = t._ops_for(asked.limit(2))
+        assert len(ops.inputFiles()) and all("run-000000000001" in f for f in ops.inputFiles())
+        assert {r["status"] for r in t.lookup(asked).collect()} == {"Found", "NotFound"} and t.multi_get(asked).count() == 2
+    monkeypatch.setattr("kvtable.table.NAMED_KEYS", 200)
+    plan = t._ops_for(asked.limit(2))._jdf.queryExecution().executedPlan().toString()
+    assert "In(key" in plan[plan.index("PushedFilters") :] or "EqualTo(key" in plan[plan.index("PushedFilters") :]
+    assert t.lookup(asked.limit(0)).count() == 0
+
+
+def test_tiered_compaction_leaves_the_base_alone(spark, path):
+    t = Table.open(spark, path, Options(max_runs=3))
+    key = F.encode(F.format_string("%05d", "id"), "UTF-8").alias("key")
+    t.upsert(spark.range(500).select(key, F.lit(b"base").alias("value")))
+    base = t.manifest.runs[-1].path
+    for i in range(6):
+        t.upsert(spark.range(i, i + 3).select(key, F.lit(b"%d" % i).alias("value")))
+        t.remove(spark.range(400 + i, 401 + i).select(key))
+        t.compact()
+        assert len(t.manifest.runs) <= 3 and t.manifest.runs[-1].path == base
+    assert t.scan().count() == 494 and t.get(b"00005") == b"5" and t.get(b"00403") is None
+    assert sum(r.n_tombstones for r in t.manifest.runs) == 6  # the base still needs them
+    t.compact(max_runs=1)
+    assert t.scan().count() == t.ops().count() == 494
+    with pytest.raises(ValueError, match="tiered or oldest"):
+        Options(compaction="newest")
+
+
+def test_oldest_compaction_merges_the_base(spark, path):
+    t = Table.open(spark, path, Options(max_runs=2, compaction="oldest"))
+    for i in range(3):
+        t.put(b"k%d" % i, b"v" * (10 - i))
+        t.flush()
+    newest = t.manifest.runs[0].path
+    assert t.compact() and t.manifest.runs[0].path == newest and t.manifest.runs[1].n_rows == 2
+
+
+def test_options_reach_the_files(spark, path):
+    import pyarrow.parquet as pq
+
+    sizes = []
+    for bits in (1 << 10, 1 << 16):
+        where = f"{path}-{bits}"
+        t = Table.open(spark, where, Options(bloom_bits=bits, index_every=4))
+        t.upsert(spark.range(2000).coalesce(1).select(F.encode(F.format_string("%05d", "id"), "UTF-8").alias("key"), F.lit(b"v").alias("value")))
+        file = next(f for f in t.ops().inputFiles() if pq.ParquetFile(f.removeprefix("file://")).metadata.num_rows)
+        sizes.append(len(open(file.removeprefix("file://"), "rb").read()))
+        assert t.get(b"00007") == b"v" and t.get(b"x") is None
+    assert sizes[1] > sizes[0] + 4000  # the larger filter
+
+
+def test_log_table(spark, path):
+    from kvtable.table import LogTable
+
+    with LogTable.open(spark, path) as t:
+        t.put(b"k", b"1")
+        t.put(b"k", b"2")
+        t.delete(b"j")
+        assert LogTable.open(spark, path).get(b"k") == b"2"  # durable without a flush
+        t.append(spark.createDataFrame([(b"k", b"3", 10), (b"j", b"4", 11), (b"k", b"5", 12)], "key binary, value binary, n bigint"), order="n")
+        t.flush()
+        assert [(bytes(r["key"]), r["seq"]) for r in t.replay().collect()] == [(b"k", 1), (b"k", 2), (b"j", 3), (b"k", 4), (b"j", 5), (b"k", 6)]
+        for call in (t.compact, t.tier, lambda: t.upsert(spark.range(1))):
+            with pytest.raises(NotImplementedError):
+                call()
+    with LogTable.open(spark, path) as t:
+        assert t.get(b"k") == b"5" and t.get(b"j") == b"4" and rows(t.scan()) == [(b"j", b"4"), (b"k", b"5")]
+        t.put(b"k", b"6")
+        assert t.get(b"k") == b"6"
