@@ -28,6 +28,13 @@ def torn_at(ops: DataFrame, n_bytes: int) -> DataFrame:
     return placed.where(F.col("_lsn") <= n_bytes).drop("_lsn")
 
 
+def torn_share(ops: DataFrame, tenths: int) -> DataFrame:
+    """What a replay sees of a log of which the first ``tenths`` of ten parts of its bytes are left."""
+    placed = log_positions(ops, "_lsn")
+    size = ops.agg(F.sum(codec.log_size(F.col("key"), F.col("value"))).alias("_size")).scalar()
+    return placed.where(F.col("_lsn") <= F.floor(size * tenths / 10)).drop("_lsn")
+
+
 def replayed(ops: DataFrame) -> DataFrame:
     """State after applying a log in order: of each key the last record."""
     return latest(ops)

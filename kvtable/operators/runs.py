@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 from kvtable.functions import codec
 from kvtable.functions.murmur import SEED_1, SEED_2, murmur3, positions
+from kvtable.operators import ranges
 from kvtable.operators.merge import latest
 from kvtable.schema import OP_COLUMNS, Options
 
+#: Most runs of a table, as far as per-run metadata is broadcast or named in a plan.
+MAX_RUNS = 10_000
+
 
 def per_run(ops: DataFrame) -> DataFrame:
     """The physical rows: of each run and key the newest."""
@@ -32,41 +36,57 @@ def run_statistics(rows: DataFrame) -> DataFrame:
     )
 
 
+def _metadata(frame: DataFrame) -> DataFrame:
+    """For a broadcast: one row per run, of which there are at most ``MAX_RUNS``; more are an error."""
+    if frame.limit(MAX_RUNS + 1).count() > MAX_RUNS:
+        raise ValueError("too many runs: compact the table")
+    return F.broadcast(frame)
+
+
 def read_candidates(requests: DataFrame, statistics: DataFrame) -> DataFrame:
     """``key, run``: runs whose key range holds the key; an unknown (NULL or empty) bound keeps the run.
 
-    The statistics are metadata, one row per run, and are broadcast.
+    The statistics are metadata, one row per run, and are broadcast after a count.
     """
     low, high = F.col("min_key"), F.col("max_key")
     unknown = lambda c: c.isNull() | (F.octet_length(c) == 0)
     inside = (unknown(low) | (F.col("key") >= low)) & (unknown(high) | (F.col("key") <= high))
-    return requests.select("key").join(F.broadcast(statistics.select("run", "min_key", "max_key")), inside).select("key", "run")
+    return requests.select("key").join(_metadata(statistics.select("run", "min_key", "max_key")), inside).select("key", "run")
 
 
-def sparse_index(rows: DataFrame, every: int = Options.index_every) -> DataFrame:
-    """``run, ordinal, key, offset`` of every n-th record of each run, offsets in record bytes."""
-    by_key = Window.partitionBy("run").orderBy("key")
+def sparse_index(rows: DataFrame, every: int = Options.index_every, per_range: int = ranges.ROWS) -> DataFrame:
+    """``run, ordinal, key, offset`` of every n-th record of each run, offsets in record bytes.
+
+    Numbered by key ranges, so a run that holds the whole table is many tasks' work.
+    """
     size = codec.record_size(F.col("key"), F.col("value"))
-    placed = rows.select(
-        "run",
-        "key",
-        (F.row_number().over(by_key) - 1).cast("bigint").alias("ordinal"),
-        F.coalesce(F.sum(size).over(by_key.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint").alias("offset"),
-    )
-    return placed.where(F.col("ordinal") % max(1, every) == 0).select("run", "ordinal", "key", "offset")
+    placed = ranges.numbered(rows.select("run", "key", size.alias("_size")), ["run"], "key", ranges.splitters(rows, "key", per_range), {"offset": F.col("_size")})
+    kept = placed.where(F.col("_nth") % max(1, every) == 0)
+    return kept.select("run", F.col("_nth").alias("ordinal"), "key", "offset")
 
 
-def index_seek(requests: DataFrame, index: DataFrame) -> DataFrame:
+def index_seek(requests: DataFrame, index: DataFrame, per_range: int = ranges.ROWS) -> DataFrame:
     """``key, run, offset``: where a lookup starts, at the greatest indexed key up to the requested one, else 0.
 
-    Requests meet the index in the order of keys, not pair by pair.
+    Requests meet the index in the order of keys, within a key range of a run;
+    a request before the range's first entry takes the last one of the ranges before.
     """
-    runs = F.broadcast(index.select("run").distinct())  # metadata, one row per run
-    asked = requests.select("key").distinct().join(runs).select("run", "key", F.lit(None).cast("bigint").alias("offset"), F.lit(1).alias("_ask"))
+    found = [r[0] for r in index.select("run").distinct().limit(MAX_RUNS + 1).collect()]
+    if len(found) > MAX_RUNS:
+        raise ValueError("too many runs: compact the table")
+    cuts = ranges.splitters(index, "key", per_range)
+    every_run = F.array(*[F.lit(r).cast("bigint") for r in sorted(found)]).cast("array<bigint>")
+    asked = requests.select("key").distinct().select(F.explode(every_run).alias("run"), "key", F.lit(None).cast("bigint").alias("offset"), F.lit(1).alias("_ask"))
     merged = index.select("run", "key", "offset", F.lit(0).alias("_ask")).unionByName(asked)
-    upto = Window.partitionBy("run").orderBy("key", "_ask").rowsBetween(Window.unboundedPreceding, 0)
-    found = merged.select("run", "key", "_ask", F.last("offset", ignorenulls=True).over(upto).alias("_at"))
-    return found.where("_ask = 1").select("key", "run", F.coalesce("_at", F.lit(0)).cast("bigint").alias("offset"))
+    merged = merged.select("*", ranges.range_of(F.col("key"), cuts).alias("_range"))
+    ends = index.select("run", "key", "offset", ranges.range_of(F.col("key"), cuts).alias("_range")).groupBy("run", "_range").agg(F.max("offset").alias("_last"))
+    own_ranges = merged.select("run", "_range").distinct().join(ends, ["run", "_range"], "left")
+    earlier = Window.partitionBy("run").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = own_ranges.select("run", "_range", F.max("_last").over(earlier).alias("_before"))
+    upto = Window.partitionBy("run", "_range").orderBy("key", "_ask").rowsBetween(Window.unboundedPreceding, 0)
+    sought = merged.select("run", "key", "_ask", "_range", F.last("offset", ignorenulls=True).over(upto).alias("_at"))
+    answers = sought.where("_ask = 1").join(starts, ["run", "_range"])
+    return answers.select("key", "run", F.coalesce("_at", "_before", F.lit(0)).cast("bigint").alias("offset"))
 
 
 def bloom_positions(rows: DataFrame, bits: int = Options.bloom_bits, hashes: int = Options.bloom_hashes) -> DataFrame:

@@ -47,7 +47,7 @@ def order_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A key for each event user and for as many users that do not exist."""
+    """A key for each event user, and as many keys of another form that no user has."""
     users = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id").distinct()
-    both = users.select(F.explode(F.array("user_id", F.col("user_id") + 1_000_000)).alias("user_id"))
-    return both.select(codec.from_text(F.format_string("u%06d", F.col("user_id"))).alias("key"))
+    both = users.select(F.explode(F.array(*[F.format_string(form, F.col("user_id")) for form in ("u%06d", "x%06d")])).alias("key"))
+    return both.select(codec.from_text(F.col("key")).alias("key"))

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from kvtable.functions import codec
 from kvtable.functions.murmur import SEED_1, SEED_2, murmur3
-from kvtable.operators import log, merge, runs
+from kvtable.operators import log, merge, ranges, runs
+from kvtable.plans import stored
 from kvtable.plans.event_log import event_ops, event_requests, event_runs, order_ops
+from kvtable.schema import Options
 
 START, END = b"u000010", b"u000100"
-LOG_CUT = 300_000
+LOG_TENTHS = 9
 KEEP_RUNS, KEEP_LOCAL = 4, 4
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -41,8 +43,7 @@ _STATS = """stats AS (
          sum(tombstone::BIGINT)::BIGINT AS n_tombstones, min(seq) AS min_seq, max(seq) AS max_seq
   FROM runs GROUP BY run)"""
 _REQUESTS = """requests AS (
-  SELECT DISTINCT encode(printf('u%06d', u)) AS key
-  FROM (SELECT user_id AS u FROM events UNION SELECT user_id + 1000000 FROM events))"""
+  SELECT encode(printf('u%06d', user_id)) AS key FROM events UNION SELECT encode(printf('x%06d', user_id)) FROM events)"""
 _ORDERS = """ops AS (
   SELECT unhex(lpad(hex(o_orderkey), 16, '0')) AS key, CASE WHEN v IS NOT NULL THEN encode(v) END AS value,
          v IS NULL AS tombstone, o_orderkey * 3 + n AS seq
@@ -75,25 +76,25 @@ def _hexed(rows: DataFrame, *more: str) -> DataFrame:
 
 @_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone")
 def kv_scan_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hexed(merge.scan(event_ops(spark, sf_dir)))
+    return _hexed(merge.scan(event_ops(spark, sf_dir)).orderBy("key"))
 
 
 @_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone AND key BETWEEN encode('u000010') AND encode('u000100')")
 def kv_scan_range(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hexed(merge.scan(event_ops(spark, sf_dir), START, END))
+    return _hexed(merge.scan(event_ops(spark, sf_dir), START, END).orderBy("key"))
 
 
 @_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone AND key >= encode('u000100')")
 def kv_scan_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hexed(merge.scan(event_ops(spark, sf_dir), END, None))
+    return _hexed(merge.scan(event_ops(spark, sf_dir), END, None).orderBy("key"))
 
 
 @_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone AND key <= encode('u000010')")
 def kv_scan_to(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hexed(merge.scan(event_ops(spark, sf_dir), None, START))
+    return _hexed(merge.scan(event_ops(spark, sf_dir), None, START).orderBy("key"))
 
 
-@_registered("SELECT 0::BIGINT AS n_rows")
+@_registered(_with(_OPS, _LATEST) + "SELECT count(*) AS n_rows FROM latest WHERE NOT tombstone AND key BETWEEN encode('u000100') AND encode('u000010')")
 def kv_scan_empty_range(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.scan(event_ops(spark, sf_dir), END, START).agg(F.count(F.lit(1)).alias("n_rows"))
 
@@ -115,7 +116,7 @@ def kv_multi_get(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registered(_with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone")
 def kv_scan_across_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hexed(merge.scan(event_runs(spark, sf_dir)))
+    return _hexed(merge.scan(event_runs(spark, sf_dir)).orderBy("key"))
 
 
 # --- runs -------------------------------------------------------------------------
@@ -222,9 +223,13 @@ def kv_wal_lsn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return log.log_positions(event_ops(spark, sf_dir)).select("seq", "lsn")
 
 
-@_registered(_with(_OPS, _LSN, _LATEST.replace("FROM ops", f"FROM lsn WHERE lsn <= {LOG_CUT}")) + f"{_KV}, tombstone, seq FROM latest")
+@_registered(
+    _with(_OPS, _LSN, _LATEST.replace("FROM ops", f"FROM lsn WHERE lsn <= (SELECT max(lsn) * {LOG_TENTHS} // 10 FROM lsn)"))
+    + f"{_KV}, tombstone, seq FROM latest"
+)
 def kv_replay_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hexed(log.replayed(log.torn_at(event_ops(spark, sf_dir), LOG_CUT)), "tombstone", "seq")
+    """A log that lost its last tenth."""
+    return _hexed(log.replayed(log.torn_share(event_ops(spark, sf_dir), LOG_TENTHS)), "tombstone", "seq")
 
 
 @_registered(
@@ -254,18 +259,11 @@ FROM (SELECT c_custkey, cast(round(c_acctbal * 100) AS BIGINT) AS c_acctbal_cent
 )
 def kv_byte_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers by balance, negative ones too, sorted by their encoded keys."""
-    from pyspark.sql import Window
-
     cents = F.round(F.col("c_acctbal") * 100).cast("bigint")
     customers = spark.read.parquet(f"{sf_dir}/customer.parquet")
     keyed = customers.select("c_custkey", F.concat(codec.from_i64(cents), codec.from_i64(F.col("c_custkey"))).alias("key"))
-    # ranked in key ranges: the first byte pair of the key, then within it
-    ranged = keyed.withColumn("_range", F.substring("key", 1, 6))
-    counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    nth = F.row_number().over(Window.partitionBy("_range").orderBy("key"))
-    return ranged.withColumn("_nth", nth).join(starts, "_range").select("c_custkey", (F.col("_start") + F.col("_nth")).alias("place"))
+    places = ranges.numbered(keyed, [], "key", ranges.splitters(keyed))
+    return places.select("c_custkey", (F.col("_nth") + 1).alias("place"))
 
 
 _MUL = lambda a, c: f"((({a})::HUGEINT * {c}::HUGEINT) & 4294967295)::BIGINT"
@@ -301,6 +299,32 @@ def kv_murmur(spark: SparkSession, sf_dir: str) -> DataFrame:
     return keys.select(F.hex("key").alias("key_hex"), murmur3(F.col("key"), SEED_1).alias("h1"), murmur3(F.col("key"), SEED_2).alias("h2"))
 
 
+_HASHES = f"""first AS {_murmur_sql(SEED_1)},
+second AS {_murmur_sql(SEED_2)},
+bits AS (
+  SELECT key, list_transform(range(0, {Options.bloom_hashes}), lambda i: (xor(a.z, a.z >> 16) + i * xor(b.z, b.z >> 16)) % {Options.bloom_bits}) AS p
+  FROM first a JOIN second b USING (key))"""
+_EVENT_KEYS = "requests AS (SELECT DISTINCT key FROM ops)"
+_FILTERS = "filters AS (SELECT DISTINCT run, unnest(p) AS position FROM runs JOIN bits USING (key))"
+
+
+@_registered(_with(_OPS, _RUNS, _EVENT_KEYS, _HASHED, _HASHES, _FILTERS) + "SELECT run, position FROM filters")
+def kv_bloom_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The set bits of each run's filter."""
+    return runs.bloom_filters(event_runs(spark, sf_dir)).select("run", F.col("position").cast("bigint").alias("position"))
+
+
+@_registered(
+    _with(_OPS, _RUNS, _REQUESTS, _HASHED, _HASHES, _FILTERS, "asked AS (SELECT key, list_distinct(p) AS p FROM bits)")
+    + """SELECT hex(key) AS key_hex, run FROM (SELECT key, len(p) AS need, unnest(p) AS position FROM asked) JOIN filters USING (position)
+GROUP BY key, run, need HAVING count(*) = need"""
+)
+def kv_bloom_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs that a lookup of each key, present or not, cannot rule out by their filters."""
+    found = runs.bloom_candidates(event_requests(spark, sf_dir), runs.bloom_filters(event_runs(spark, sf_dir)))
+    return found.select(F.hex("key").alias("key_hex"), "run")
+
+
 @_registered(_with(_OPS, _RUNS) + "SELECT run, count(*) AS n_keys, 0::BIGINT AS n_missed FROM runs GROUP BY run")
 def kv_bloom_no_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_runs(spark, sf_dir)
@@ -310,19 +334,44 @@ def kv_bloom_no_false_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.groupBy("run").agg(F.count(F.lit(1)).alias("n_keys"), missed.alias("n_missed"))
 
 
-@_registered(_with(_OPS) + "SELECT count(*) AS n_records, 0::BIGINT AS n_bad FROM ops")
-def kv_crc_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Records framed with their checksum, parsed back out of the frame and verified."""
-    framed = event_ops(spark, sf_dir).select(
-        codec.record_bytes(F.col("key"), F.col("value"), F.col("seq")).alias("body"),
-        codec.record_crc(F.col("key"), F.col("value"), F.col("seq")).alias("crc"),
-    )
-    stored = framed.select(F.concat("body", F.unhex(F.lpad(F.hex("crc"), 8, "0"))).alias("record"))
+def _half_bytes() -> list[int]:
+    """CRC-32 of the 16 half bytes, from its polynomial."""
+    out = []
+    for n in range(16):
+        for _ in range(4):
+            n = (n >> 1) ^ (0xEDB88320 if n & 1 else 0)
+        out.append(n)
+    return out
+
+
+def _crc_sql(digits: str) -> str:
+    """CRC-32 of hex digits; of each byte the low half counts first."""
+    halves = f"list_transform(regexp_extract_all(regexp_replace({digits}, '(.)(.)', '\\2\\1', 'g'), '.'), lambda x: ('0x' || x)::BIGINT)"
+    step = f"xor(c >> 4, ({_half_bytes()}::BIGINT[])[(xor(c, b) & 15) + 1])"
+    return f"xor(list_reduce(list_prepend(4294967295::BIGINT, {halves}), lambda c, b: {step}), 4294967295::BIGINT)"
+
+
+_RECORD_HEX = """lpad(hex(octet_length(key)), 8, '0') || CASE WHEN value IS NULL THEN 'FFFFFFFF' ELSE lpad(hex(octet_length(value)), 8, '0') END
+  || lpad(hex(seq), 16, '0') || hex(key) || coalesce(hex(value), '')"""
+
+
+@_registered(_with(_OPS) + f"SELECT seq, {_crc_sql(_RECORD_HEX)}::BIGINT AS crc, true AS whole, false AS damaged_whole FROM ops")
+def kv_record_crc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each record's checksum, and whether the record, stored whole and with its last byte changed, passes the test."""
+    ops = event_ops(spark, sf_dir)
+    body, crc = codec.record_bytes(F.col("key"), F.col("value"), F.col("seq")), codec.record_crc(F.col("key"), F.col("value"), F.col("seq"))
+    framed = ops.select("seq", crc.alias("crc"), F.concat(body, F.unhex(F.lpad(F.hex(crc), 8, "0"))).alias("record"))
+    cut = lambda r, start, end: F.substr(r, start, end)
+
+    def passes(record):
+        size = F.octet_length(record)
+        kept = F.conv(F.hex(cut(record, size - 3, F.lit(4))), 16, 10).cast("bigint")
+        return F.crc32(cut(record, F.lit(1), size - 4)) == kept
+
     size = F.octet_length("record")
-    body = F.expr("substring(record, 1, octet_length(record) - 4)")
-    kept = F.conv(F.hex(F.expr("substring(record, octet_length(record) - 3, 4)")), 16, 10).cast("bigint")
-    bad = F.sum(F.when((F.crc32(body) != kept) | (size < 20), 1).otherwise(0)).cast("bigint")
-    return stored.agg(F.count(F.lit(1)).alias("n_records"), bad.alias("n_bad"))
+    last = F.conv(F.hex(cut(F.col("record"), size - 4, F.lit(1))), 16, 10).cast("int").bitwiseXOR(F.lit(1))
+    damaged = F.concat(cut(F.col("record"), F.lit(1), size - 5), F.unhex(F.lpad(F.hex(last), 2, "0")), cut(F.col("record"), size - 3, F.lit(4)))
+    return framed.select("seq", "crc", passes(F.col("record")).alias("whole"), passes(damaged).alias("damaged_whole"))
 
 
 # --- a keyspace of orders -------------------------------------------------------------
@@ -330,7 +379,7 @@ def kv_crc_ok(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_registered(_with(_ORDERS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone")
 def kv_orders_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hexed(merge.scan(order_ops(spark, sf_dir)))
+    return _hexed(merge.scan(order_ops(spark, sf_dir)).orderBy("key"))
 
 
 @_registered(
@@ -344,6 +393,78 @@ def kv_orders_get(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge.status(keys, order_ops(spark, sf_dir)).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
 
 
+# --- through real tables and stored files ------------------------------------------------
+
+
+def _through(name: str, query: Callable[[SparkSession, str], DataFrame], sql: str) -> None:
+    QUERIES[name], ORACLES[name] = query, sql
+
+
+_BATCHED = f"""batched AS (
+  SELECT * EXCLUDE (rn) FROM (
+    SELECT *, row_number() OVER (PARTITION BY run_id, key ORDER BY seq DESC) AS rn
+    FROM (SELECT *, ((seq - 1) * {stored.BATCHES} // (SELECT count(*) FROM events))::BIGINT AS run_id FROM ops)) WHERE rn = 1)"""
+_LIVE = _with(_OPS, _LATEST) + f"{_KV} FROM latest WHERE NOT tombstone"
+_SUPPLIERS = f"""records AS (
+  SELECT encode(printf('s%06d', s_suppkey)) AS key, CASE WHEN s_acctbal >= 0 THEN encode(s_name) END AS value, s_acctbal < 0 AS tombstone, s_suppkey AS seq
+  FROM supplier),
+placed AS (
+  SELECT *, row_number() OVER (ORDER BY key) - 1 AS ordinal, coalesce(sum(20 + octet_length(key) + {_SIZE}) OVER (
+    ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset"
+  FROM records)"""
+
+_through("kv_table_upsert_scan", stored.table_upsert_scan, _LIVE)
+_through("kv_table_redelivery", stored.table_redelivery, _LIVE)
+_through("kv_table_compacted", stored.table_compacted, _with(_OPS, _LATEST) + f"{_KV}, tombstone FROM latest WHERE NOT tombstone")
+_through("kv_table_snapshot", stored.table_snapshot, _with(_OPS, _BATCHED) + f"{_KV} FROM batched WHERE run_id = 0 AND NOT tombstone")
+_through(
+    "kv_table_manifest",
+    stored.table_manifest,
+    _with(_OPS, _BATCHED)
+    + """SELECT run_id, 'local' AS tier, hex(min(key)) AS min_key, hex(max(key)) AS max_key, count(*) AS n_rows,
+  sum(tombstone::BIGINT)::BIGINT AS n_tombstones, run_id + 1 AS min_seq, run_id + 1 AS max_seq FROM batched GROUP BY run_id""",
+)
+_through(
+    "kv_table_tiers",
+    stored.table_tiers,
+    _with(_OPS, _BATCHED)
+    + f"""SELECT run_id, CASE WHEN run_id = {stored.BATCHES - 1} THEN 'local' ELSE 'remote' END AS tier, count(*) AS n_rows,
+  run_id < {stored.BATCHES - 1} AS in_remote_folder FROM batched GROUP BY run_id""",
+)
+_through("kv_table_lookup", stored.table_lookup, ORACLES["kv_get_status"])
+_through(
+    "kv_table_delete",
+    stored.table_delete,
+    """SELECT lpad(hex(o_orderkey), 16, '0') AS key_hex, hex(encode(o_orderpriority)) AS value_hex FROM orders WHERE o_orderstatus <> 'F'""",
+)
+_through(
+    "kv_table_single_writes",
+    stored.table_single_writes,
+    """SELECT hex(encode(printf('n%03d', n_nationkey))) AS key_hex, hex(encode(n_name)) AS value_hex FROM nation WHERE n_regionkey <> 0""",
+)
+_through("kv_log_replay", stored.log_replay, _with(_OPS) + f"{_KV}, tombstone, seq FROM ops")
+_through("kv_stored_run_scan", stored.stored_run_scan, _with(_SUPPLIERS) + f'{_KV}, tombstone, seq, "offset" FROM placed')
+_through("kv_stored_run_index", stored.stored_run_index, _with(_SUPPLIERS) + 'SELECT hex(key) AS key_hex, "offset" FROM placed WHERE ordinal % 32 = 0')
+_through(
+    "kv_stored_log_replay",
+    stored.stored_log_replay,
+    _with(_SUPPLIERS) + f"{_KV}, tombstone, seq FROM placed WHERE ordinal < (SELECT max(ordinal) FROM placed)",
+)
+_through(
+    "kv_stored_filter",
+    stored.stored_filter,
+    _with(_SUPPLIERS, "requests AS (SELECT key FROM records)", _HASHED, f"first AS {_murmur_sql(SEED_1)}", f"second AS {_murmur_sql(SEED_2)}")
+    + """SELECT DISTINCT 4096 AS bits, 5 AS hashes, unnest(list_transform(range(0, 5),
+  lambda i: (xor(a.z, a.z >> 16) + i * xor(b.z, b.z >> 16)) % 4096))::INT AS position FROM first a JOIN second b USING (key)""",
+)
+_through(
+    "kv_stored_manifest",
+    stored.stored_manifest,
+    """SELECT printf('%03d.sst', r_regionkey) AS file, printf('%03d.bloom', r_regionkey) AS bloom, hex(encode(r_name)) AS min_key, '' AS max_key,
+  row_number() OVER (ORDER BY r_regionkey) - 1 AS run_order, row_number() OVER (ORDER BY r_regionkey DESC) - 1 AS found_order FROM region""",
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 

@@ -37,6 +37,14 @@ class Storage:
         finally:
             stream.close()
 
+    def write_bytes(self, name: str, data: bytes) -> None:
+        """A small file, replaced if it exists."""
+        stream = self._fs.create(self._path(name), True)
+        try:
+            stream.write(bytearray(data))
+        finally:
+            stream.close()
+
     def create(self, name: str, text: str) -> None:
         """Writes a file whole or not at all; raises FileExistsError if there is one of that name."""
         place, beside = self._path(name), self._path(f"{name}.{uuid.uuid4().hex}.tmp")
