@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvtable.llm.common import PieceCache, ceil_div, slices
+from kvtable.llm.common import PieceCache, ceil_div, release, released, slices
 from kvtable.llm.shared import written
 
 DOCS_PER_GROUP = 8192
@@ -138,6 +138,7 @@ def pieces_of(text: Column, tokenizer_path: str, capacity: int, end_id: int, kee
                 yield _cut(tokenizer, texts, end, capacity, kind, keep_ids)
         finally:
             tokenizer.forget()
+            release()
 
     return cut(text)
 
@@ -192,17 +193,18 @@ def _placed(rows: DataFrame, capacity: int) -> DataFrame:
         for group in _grouped(batches):
             lengths = group.column("length").to_numpy()
             order = np.argsort(-lengths, kind="stable")
-            sequences, offsets = (np.array(x, np.int64) for x in sum_of_squares(lengths[order].tolist(), capacity))
-            fills = np.bincount(sequences, lengths[order]).astype(np.int64)
+            placed = np.empty((2, len(order)), np.int64)  # the rows themselves stay where they are
+            placed[:, order] = sum_of_squares(lengths[order].tolist(), capacity)
+            fills = np.bincount(placed[0], lengths).astype(np.int64)
             base = group.column("_group")[0].as_py() << 32
-            out = group.select(names).take(pa.array(order))
-            for name, values in (("sequence_id", sequences + base), ("offset", offsets), ("fill", fills[sequences])):
+            out = group.select(names)
+            for name, values in (("sequence_id", placed[0] + base), ("offset", placed[1]), ("fill", fills[placed[0]])):
                 out = out.append_column(name, pa.array(values))
-            yield from out.to_batches(max_chunksize=10_000)
+            yield from out.to_batches(max_chunksize=1_000)
 
     dealt = rows.repartition("_group").sortWithinPartitions("_group")
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return dealt.mapInArrow(place, f"{schema}, sequence_id bigint, offset bigint, fill bigint")
+    return dealt.mapInArrow(lambda batches: released(place(batches)), f"{schema}, sequence_id bigint, offset bigint, fill bigint")
 
 
 def joined_ends(ends: DataFrame, capacity: int, per_group: int) -> DataFrame | None:

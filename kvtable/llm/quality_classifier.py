@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvtable.llm.common import in_slices
+from kvtable.llm.common import in_slices, released
 from kvtable.llm.labels import held_out, with_labels
 from kvtable.llm.shared import removed, written
 
@@ -105,7 +105,7 @@ def _numbers(text: Column) -> Column:
 
     @F.arrow_udf("binary")
     def extract(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in released(batches):
             yield pa.array([features(t).tobytes() for t in in_slices(texts)], pa.binary())
 
     return extract(text)
@@ -116,7 +116,7 @@ def _log_count_ratios(labelled: DataFrame, text_col: str) -> np.ndarray:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, N_FEATURES), np.int64)
-        for batch in batches:
+        for batch in released(batches):
             for text, label in zip(in_slices(batch.column(0)), in_slices(batch.column(1)), strict=True):
                 counts[1 if label else 0][features(text)] += 1
         at = np.flatnonzero(counts.sum(axis=0))
@@ -259,7 +259,7 @@ def scores(docs: DataFrame, model: Model, text_col: str = "text", out: str = "sc
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         fitted = sent.value
-        for texts in batches:
+        for texts in released(batches):
             yield pa.array([fitted.score(features(t)) for t in in_slices(texts)], pa.float64())
 
     return docs.withColumn(out, score(F.col(text_col)))

@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvtable.llm.common import in_slices
+from kvtable.llm.common import in_slices, released
 from kvtable.llm.components import components
 from kvtable.llm.shared import removed, written
 
@@ -203,7 +203,7 @@ def dealt_groups(keyed: DataFrame, search: Callable, result: str) -> DataFrame:
     dealt = groups.repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
 
     def over(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return search(group for group in _whole_groups(batches) if group.num_rows > 1)
+        return released(search(group for group in _whole_groups(batches) if group.num_rows > 1))
 
     return dealt.mapInArrow(over, result)
 

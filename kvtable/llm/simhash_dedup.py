@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kvtable.llm.common import in_slices
+from kvtable.llm.common import in_slices, released
 from kvtable.llm.components import components
 from kvtable.llm.shared import removed, written
 from kvtable.llm.simhash import MAX_BROADCAST_ROWS, SEED, covering_masks, dealt_groups, shingle_hashes
@@ -105,7 +105,7 @@ def described(docs: DataFrame, shingle: int, words: int, text_col: str = "text")
     @F.arrow_udf("struct<node:bigint,n:int,fp:binary>")
     def of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         factors = _factors(words)
-        for texts in batches:
+        for texts in released(batches):
             nodes, sizes, fps = [], [], []
             for text in in_slices(texts):
                 found = shingle_set(text, shingle)
@@ -253,7 +253,7 @@ def _sets(texts: DataFrame, rows: DataFrame, shingle: int) -> DataFrame:
 
     @F.arrow_udf("array<bigint>")
     def listed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in batches:
+        for batch in released(batches):
             yield pa.array([shingle_set(t, shingle).view(np.int64) for t in in_slices(batch)], pa.list_(pa.int64()))
 
     found = texts.join(_few(rows), ["_k", "_l"]).select("node", listed("text").alias("data"))

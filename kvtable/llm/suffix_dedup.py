@@ -51,7 +51,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from kvtable.llm.common import ceil_div
+from kvtable.llm.common import ceil_div, releasing
 
 SPAN = 50
 #: Bytes of a gram, a multiple of 8, and an odd factor for each 8 of them.
@@ -59,7 +59,7 @@ GRAM = 24
 ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 RUN_BYTES = 4 << 20
 #: Text per hash range of step 1 and per key range of step 3; the latter hold Python objects.
-HASHED_BYTES, MERGED_BYTES = 12 << 20, 4 << 20
+HASHED_BYTES, MERGED_BYTES = 8 << 20, 4 << 20
 #: Strings that are sampled for the splitters; they go to the driver.
 SAMPLES = 50_000
 #: Different contexts, counted per run, from which an anchor's windows go separately.
@@ -86,6 +86,12 @@ def _gram_hashes(data: np.ndarray) -> np.ndarray:
     return total
 
 
+def _even(hashes: np.ndarray) -> np.ndarray:
+    """Other numbers for the hashes, one to one: anchors have the least hashes around, so these crowd at the low end."""
+    hashes = (hashes ^ (hashes >> np.uint64(32))) * np.uint64(ODD[4])
+    return hashes ^ (hashes >> np.uint64(29))
+
+
 def _sliding_min(x: np.ndarray, width: int) -> np.ndarray:
     have = 1
     while 2 * have <= width:
@@ -142,7 +148,7 @@ class Run:
         self.ends = np.cumsum([len(t) for t in encoded], dtype=np.int64)
         self.ids = np.array([i for i, _, _ in rows], np.int64)
         self.grams, self.first, self.last, self.anchor = anchored(np.frombuffer(self.bytes, np.uint8), self.ends, span)
-        self.hash = self.grams[self.anchor]
+        self.hash = _even(self.grams[self.anchor])
         self.row = np.searchsorted(self.ends, self.first, side="right")
         self.unique = np.unique(self.hash)
 
@@ -171,7 +177,7 @@ class Run:
         a, b, open_ones = first[a[equal]], first[b[equal]], np.flatnonzero(equal)
         size = (last - first)[order[:-1][equal]] + self.span
         if len(a):
-            words = np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,))
+            words = np.ascontiguousarray(np.ndarray((len(self.bytes) - 7,), "<u8", self.bytes, strides=(1,)))
             bad = np.zeros(len(a), bool)
             for at in range(0, int(size.max()), 8):
                 place = np.minimum(at, size - 8)  # the last word may overlap the one before
@@ -255,7 +261,8 @@ class Entries:
         out = np.zeros(len(anchor), np.int64)
         for rows, width in ((~whole, GRAM), (whole, self.run.span)):
             if rows.any() and splitters:
-                strings = np.ndarray((len(self.run.bytes) - width + 1,), f"S{width}", self.run.bytes, strides=(1,))[anchor[rows]]
+                data = np.frombuffer(self.run.bytes, np.uint8)
+                strings = data[anchor[rows, None] + np.arange(width)].view(f"S{width}").ravel()
                 out[rows] = np.searchsorted(np.array([x[:width] for x in splitters], f"S{width}"), strings, side="right")
         return out
 
@@ -300,10 +307,12 @@ class Entries:
         gone = least[stretch] < np.repeat(run.ids[self.row], n)
         start = (np.repeat(self.at, n) + upto[stretch])[gone]
         end = start + lengths[stretch[gone]] - 1 + run.span
-        change = np.bincount(start, minlength=len(run.bytes) + 1) - np.bincount(end, minlength=len(run.bytes) + 1)
-        covered = np.concatenate([[0], np.cumsum(change[:-1]) > 0, [0]]).astype(np.int8)
+        order = np.argsort(start, kind="stable")
+        start, reached = start[order], np.maximum.accumulate(end[order]) if len(end) else end
+        new = np.concatenate([[True], start[1:] > reached[:-1]])[: len(start)]
+        stops = reached[np.concatenate([new[1:], [True]])[: len(start)]]
         starts = np.concatenate([[0], run.ends[:-1]])
-        for a, b in np.flatnonzero(np.diff(covered)).reshape(-1, 2).tolist():
+        for a, b in zip(start[new].tolist(), stops.tolist(), strict=True):
             row = int(np.searchsorted(run.ends, a, side="right"))
             while True:  # a stretch may touch the next document's
                 stop = min(b, int(run.ends[row]))
@@ -557,6 +566,7 @@ def dedup(
     def run_of(table: pa.Table) -> Run:
         return Run(table.column("_id").to_pylist(), table.column("_text").to_pylist(), span)
 
+    @releasing
     def hashes(table: pa.Table) -> pa.Table:
         run = run_of(table)
         number = table.column("_run")[0].as_py()
@@ -569,6 +579,7 @@ def dedup(
         ]
         return _table(sent, MESSAGE)
 
+    @releasing
     def repeated(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         numbers = table.column("run").to_pylist()
@@ -594,6 +605,7 @@ def dedup(
             is_hot[a:b] = np.unpackbits(np.frombuffer(more, np.uint8), count=b - a)
         return Entries(run, again, is_hot, splitters)
 
+    @releasing
     def suffixes(table: pa.Table, flags: pa.Table) -> pa.Table:
         if not table.num_rows:
             return _table([], MESSAGE)
@@ -601,6 +613,7 @@ def dedup(
         found = candidates(table, flags)
         return _table([(p, number, found.coded(p), None) for p in range(n_ranges) if found.cuts[p] < found.cuts[p + 1]], MESSAGE)
 
+    @releasing
     def resolved(table: pa.Table) -> pa.Table:
         part = table.column("part")[0].as_py()
         answers = resolve_part(table.column("data").to_pylist(), span)
@@ -609,6 +622,7 @@ def dedup(
     carried = [i for i, f in enumerate(fields) if f.name != text_col]
     spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
+    @releasing
     def cut_rows(table: pa.Table, messages: pa.Table) -> pa.Table:
         is_answer = messages.column("flags").is_null()  # only hash flags come with a second bit list
         found = candidates(table, messages.filter(pc.invert(is_answer)))
