@@ -86,11 +86,14 @@ def in_slices(array: pa.Array, rows: int = 256) -> Iterator[str | None]:
 
 
 #: Rows in an Arrow batch to a Python worker: whole texts, so Spark's default of 10,000 would be tens of MB on both sides.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 
 
 def with_text_batches(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches sized for rows that hold texts; a smaller setting of the user's stays."""
+    """The session with Arrow batches sized for rows that hold texts; a smaller setting of the user's stays.
+
+    Plans run after the call that made them, so the setting is not put back.
+    """
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
         spark.conf.set(name, BATCH_ROWS)
