@@ -181,13 +181,15 @@ def _whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(held)
 
 
-def dealt_groups(keyed: DataFrame, search: Callable, result: str) -> DataFrame:
+def dealt_groups(keyed: DataFrame, search: Callable, result: str, weight: Column | None = None) -> DataFrame:
     """``search`` over the rows of each ``key``; keys with one row only are left out.
 
     Rows of a key beyond ``BUCKET`` rows are cut into parts, and each pair of
-    parts is a group of its own, so that no task holds them all.
+    parts is a group of its own, so that no task holds them all.  With a
+    ``weight``, a row counts for so many, but for one at least.
     """
-    counts = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > BUCKET)
+    size = F.count(F.lit(1)) if weight is None else F.sum(F.greatest(weight, F.lit(1.0)))
+    counts = keyed.groupBy("key").agg(size.alias("n")).where(F.col("n") > BUCKET)
     large, path = written(counts.select("key", F.ceil(F.col("n") / BUCKET).cast("int").alias("_parts")))
     n_large = large.limit(MAX_BROADCAST_ROWS + 1).count()
     rest = [c for c in keyed.columns if c != "key"]

@@ -16,7 +16,9 @@ texts keeps its size, and the tables grow with a power of about 0.24 of it.
 2. Per bucket of such nodes, the forest of nearest pairs by the whole
    fingerprint.  Each pair is verified on the sets; links give components.
 3. Per bucket, all pairs within reach that still lie in different components
-   are verified too, so that no link between candidates is lost.
+   are verified too, so that no link between candidates is lost.  The sets of
+   such nodes come to the bucket, and only links leave it: the pairs are not
+   rows.  Each is tested in one bucket, of all that hold it.
 
 No pair is a link before its sets are compared.  NULL texts and texts without
 words have the empty set and are copies of each other; repeated rows and rows
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from kvtable.llm.common import in_slices, released
 from kvtable.llm.components import components
 from kvtable.llm.shared import removed, written
-from kvtable.llm.simhash import MAX_BROADCAST_ROWS, SEED, covering_masks, dealt_groups, shingle_hashes
+from kvtable.llm.simhash import BUCKET, MAX_BROADCAST_ROWS, SEED, covering_masks, dealt_groups, shingle_hashes
 
 #: Probability with which a pair at the similarity itself agrees in some table.
 RECALL = 0.99
@@ -47,6 +49,10 @@ REACH = 4.5
 LEAST_BITS, FILTER_BITS = 1024, 128
 #: Rows that share a key by chance, at most, on average.
 BUCKET_ROWS = 64
+#: A key holds its table's number above this many bits.
+TABLE_SHIFT = 40
+#: Shingles of a bucket, beyond which it is searched by pairs of parts when the sets are in it.
+SHINGLES = 2_000_000
 #: Shingles whose bits are counted at a time, in one byte each.
 CHUNK = 255
 
@@ -129,7 +135,7 @@ def table_keys(fps: np.ndarray, key_bits: int, tables: int) -> np.ndarray:
     shifts = [(m & -m).bit_length() - 1 for m in masks]
     bits = np.unpackbits(fps.view(np.uint8), axis=1, bitorder="little")
     powers = 1 << np.arange(key_bits, dtype=np.int64)
-    return np.stack([(t << 40) + bits[:, at : at + key_bits] @ powers for t, at in enumerate(shifts)], axis=1)
+    return np.stack([(t << TABLE_SHIFT) + bits[:, at : at + key_bits] @ powers for t, at in enumerate(shifts)], axis=1)
 
 
 def keyed(nodes: DataFrame, key_bits: int, tables: int) -> DataFrame:
@@ -195,23 +201,33 @@ def _nearest_forest(group: dict[str, np.ndarray], limit: int, similarity: float)
     return np.array(a, np.int64), np.array(b, np.int64)
 
 
-def _across(group: dict[str, np.ndarray], limit: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
-    """All pairs within the limit that lie in different components."""
+def _across(group: dict[str, np.ndarray], near: int, limit: int, similarity: float, key_bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs within reach that lie in different components, each in the first table alone that both share a key of."""
     fps, n, c = (group[x] for x in ("fp", "n", "c"))
+    table = int(group["key"][0]) >> TABLE_SHIFT
     a, b = [], []
-    if len(n) and (c != c[0]).any():
-        for i in range(len(n) - 1):
-            rest = np.flatnonzero((c[i + 1 :] != c[i]) & _sizes_reach(n[i + 1 :], n[i], similarity)) + i + 1
-            if len(rest):
-                hits = rest[_distances(fps[rest], fps[i]) <= limit]
-                a.append(np.full(len(hits), i))
-                b.append(hits)
+    for i in range(len(n) - 1 if (c != c[0]).any() else 0):
+        rest = np.flatnonzero((c[i + 1 :] != c[i]) & _sizes_reach(n[i + 1 :], n[i], similarity)) + i + 1
+        differing = fps[rest] ^ fps[i]
+        counts = np.bitwise_count(differing)
+        within = (counts.sum(axis=1, dtype=np.int32) <= limit) & (counts[:, : FILTER_BITS // 64].sum(axis=1, dtype=np.int32) <= near)
+        rest, differing = rest[within], differing[within]
+        if table and len(rest):
+            bits = np.unpackbits(differing.view(np.uint8), axis=1, bitorder="little", count=table * key_bits)
+            rest = rest[bits.reshape(len(rest), table, key_bits).any(axis=2).all(axis=1)]
+        a.append(np.full(len(rest), i))
+        b.append(rest)
     none = np.zeros(0, np.int64)
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
+def _similar(a: np.ndarray, b: np.ndarray, similarity: float) -> bool:
+    common = len(np.intersect1d(a, b, assume_unique=True))
+    return common >= similarity * (len(a) + len(b) - common) - 1e-9
+
+
 def _columns(rows: pa.Table) -> dict[str, np.ndarray]:
-    out = {c: rows.column(c).to_numpy() for c in rows.column_names if c != "fp"}
+    out = {c: rows.column(c).to_numpy() for c in rows.column_names if c not in ("fp", "data")}
     for w in {"w0", "w1"} & set(out):
         out[w] = out[w].view(np.uint64)
     if "fp" in rows.column_names:
@@ -281,12 +297,31 @@ def links(nodes: DataFrame, sets_of: Callable, similarity: float, key_bits: int,
     touched = kept(nodes.join(close.select("node").distinct(), "node"))
     sets = kept(sets_of(touched))
     groups = kept(close.join(touched.select("node", "n", "fp"), "node"))
-    tested = kept(_pairs(groups, lambda g: _nearest_forest(g, far, similarity)))
+    tested = _pairs(groups, lambda g: _nearest_forest(g, far, similarity))
     first = kept(verified(tested, sets, similarity))
     named = groups.join(components(first), "node", "left").withColumn("c", F.coalesce("component", "node")).drop("component")
     mixed = named.groupBy("key").agg(F.min("c").alias("_c"), F.max("c").alias("_d")).where("_c <> _d").select("key")
-    rest = _pairs(named.join(mixed, "key", "left_semi"), lambda g: _across(g, far, similarity)).join(tested, ["a", "b"], "left_anti")
-    second, last = written(first.union(verified(rest, sets, similarity)))
+    apart = kept(named.join(mixed, "key", "left_semi"))
+
+    def in_reach(groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for table in groups:
+            group = _columns(table)
+            at = np.unique(np.concatenate(_across(group, near, far, similarity, key_bits)))
+            yield pa.RecordBatch.from_arrays([pa.array(group[c][at]) for c in ("key", "node")], names=["key", "node"])
+
+    def linked(groups: Iterator[pa.Table]) -> Iterator[pa.RecordBatch]:
+        for table in groups:
+            group, data = _columns(table), table.column("data").combine_chunks()
+            ends, values = data.offsets.to_numpy(), data.values.to_numpy()
+            of = [values[x:y] for x, y in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
+            pairs = zip(*(x.tolist() for x in _across(group, near, far, similarity, key_bits)), strict=True)
+            hits = [(group["node"][i], group["node"][j]) for i, j in pairs if _similar(of[i], of[j], similarity)]
+            yield pa.RecordBatch.from_arrays([pa.array([h[k] for h in hits], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+    wanted = dealt_groups(apart, in_reach, "key bigint, node bigint").distinct()
+    with_sets = kept(apart.join(wanted, ["key", "node"]).join(sets, "node"))
+    rest = dealt_groups(with_sets, linked, "a bigint, b bigint", weight=F.col("n") * (BUCKET / SHINGLES)).distinct()
+    second, _ = written(first.union(rest))
     for path in paths:
         removed(spark, path)
     return second
