@@ -34,7 +34,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kvtable.llm.common import PieceCache, slices
+from kvtable.llm.common import PieceCache, released, slices
 
 #: Characters past a match's end that the split pattern can look at, plus one.
 LOOKAHEAD = 3
@@ -174,7 +174,7 @@ def encoded(text: Column, ranks_path: str, pattern: str) -> Column:
     @F.arrow_udf("array<int>")
     def encode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(ranks_path, pattern)
-        for texts in slices(batches):
+        for texts in slices(released(batches)):
             yield _id_lists([bpe.encode_packed(t or "") for t in texts.to_pylist()])
 
     return encode_batches(text)
@@ -186,7 +186,7 @@ def decoded(ids: Column, ranks_path: str, pattern: str) -> Column:
     @F.arrow_udf("binary")
     def decode_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         bpe = codec(ranks_path, pattern)
-        for lists in slices(batches):
+        for lists in slices(released(batches)):
             values = lists.values.to_numpy(zero_copy_only=False)
             at = lists.offsets.to_numpy()
             found = [bpe.decode(values[a:b].tolist()) for a, b in zip(at[:-1], at[1:], strict=True)]

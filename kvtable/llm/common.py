@@ -85,18 +85,21 @@ def in_slices(array: pa.Array, rows: int = 256) -> Iterator[str | None]:
         yield from array.slice(at, rows).to_pylist()
 
 
-#: Rows in an Arrow batch to a Python worker: whole texts, so Spark's default of 10,000 would be tens of MB on both sides.
-BATCH_ROWS = 500
+#: Rows and bytes in an Arrow batch to a Python worker: whole texts, so Spark's defaults of 10,000 rows and 64 MB would be
+#: held several times over on both sides.  A single longer text is a batch of its own.
+BATCH_ROWS, BATCH_BYTES = 500, 16 << 20
 
 
 def with_text_batches(spark: SparkSession) -> SparkSession:
-    """The session with Arrow batches sized for rows that hold texts; a smaller setting of the user's stays.
+    """The session with Arrow batches sized for rows that hold texts; smaller settings of the user's stay.
 
     Plans run after the call that made them, so the setting is not put back.
     """
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
-        spark.conf.set(name, BATCH_ROWS)
+    rows, size = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not 0 < int(spark.conf.get(rows)) <= BATCH_ROWS:
+        spark.conf.set(rows, BATCH_ROWS)
+    if spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch() > BATCH_BYTES:  # always positive
+        spark.conf.set(size, f"{BATCH_BYTES}b")
     return spark
 
 
