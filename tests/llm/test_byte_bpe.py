@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from kvtable.llm import byte_bpe, queries, token_counts
+from kvtable.llm.common import with_text_batches
 
 RANKS = P.path("byte_bpe_50k.tiktoken")
 
@@ -102,3 +103,17 @@ def test_token_counts(spark, corpus, reference, bare_corpus):
 def test_counts_of_given_lengths(spark):
     rows = token_counts.limit_report(token_counts.length_histogram(spark.createDataFrame([(None,), (0,), (3000,)], "n_tokens int")))
     assert {r["length"]: r["n_docs"] for r in rows.collect()} == {0: 2, 3000: 1}
+
+
+def test_arrow_batches_are_bounded_and_smaller_settings_stay(spark):
+    names = [f"spark.sql.execution.arrow.max{x}PerBatch" for x in ("Records", "Bytes")]
+    before = [spark.conf.get(n) for n in names]
+    try:
+        for given, wanted in ((("10000", "64m"), ("500", "16777216b")), (("20", "1m"), ("20", "1m")), (("0", "64m"), ("500", "16777216b"))):
+            for n, v in zip(names, given, strict=True):
+                spark.conf.set(n, v)
+            with_text_batches(spark)
+            assert [spark.conf.get(n) for n in names] == list(wanted)
+    finally:
+        for n, v in zip(names, before, strict=True):
+            spark.conf.set(n, v)
