@@ -119,12 +119,18 @@ def fit(
     hashes = raw.select(F.transform(words_of(text_of(text_col)), lambda w: F.xxhash64(w)).alias("_wh"), is_target.alias("_t"))
     buckets = hashes.select(F.explode(grams(F.col("_wh"), n_buckets)).alias("bucket"), "_t")
     counts = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("r"), F.count_if(F.col("_t")).alias("t"))
-    every = raw.sparkSession.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
+    return log_ratios(counts, n_buckets, smoothing)
+
+
+def log_ratios(counts: DataFrame, n_buckets: int = N_BUCKETS, smoothing: float = SMOOTHING) -> DataFrame:
+    """The row of ``fit`` from ``bucket, r, t``: how often a bucket occurs in the raw corpus and in the target."""
+    every = counts.sparkSession.range(n_buckets).select(F.col("id").cast("int").alias("bucket"))
     both = every.join(counts, "bucket", "left").select("bucket", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("t", F.lit(0)).alias("t"))
     model = both.agg(
         F.sum("r").alias("nr"), F.sum("t").alias("nt"), F.sort_array(F.collect_list(F.struct("bucket", "r", "t"))).alias("c")
     )
-    expected = lambda c: c["r"] * F.col("nt") / F.col("nr")
+    # a product of two counts leaves BIGINT at about 100 GB of documents
+    expected = lambda c: c["r"].cast("double") * F.col("nt") / F.col("nr")
     weights = F.transform("c", lambda c: F.log((c["t"] + smoothing) / (expected(c) + smoothing)))
     flat = F.transform("c", lambda c: F.lit(0.0))
     return model.select(F.when(F.col("nt") > 0, weights).otherwise(flat).alias("weights"))

@@ -217,6 +217,15 @@ def test_quality_rules_statistics_and_model(spark, edge, empty, clashing, labell
     assert quality_rules.fit(empty, no, n_buckets=16).first()[0] == [0.0] * 16
 
 
+def test_model_of_counts_whose_products_leave_bigint(spark):
+    counts = {0: (6 << 30, 3 << 30), 1: (2 << 30, 2 << 30), 3: (1, 0)}
+    rows = spark.createDataFrame([(b, *c) for b, c in counts.items()], "bucket int, r bigint, t bigint")
+    got = quality_rules.log_ratios(rows, n_buckets=4, smoothing=2.0).first()[0]
+    nr, nt = (sum(c[i] for c in counts.values()) for i in (0, 1))
+    want = [math.log((t + 2.0) / (r * nt / nr + 2.0)) for r, t in (counts.get(b, (0, 0)) for b in range(4))]
+    assert max(abs(a - b) for a, b in zip(got, want, strict=True)) < 1e-12
+
+
 def test_rules_tell_the_kinds_apart_and_allow_filters(spark, labelled):
     docs, labels = labelled
     model = quality_rules.fit(docs.join(labels, "doc_id"), F.col("quality") == 1)
